@@ -1,0 +1,6 @@
+"""No streaming operator is in scope.
+
+The row-local expressions of ``scribelake.functions`` (normalisation, counts,
+buckets, edit distances) hold no state, so they also work on the DataFrame of a
+``readStream``; nothing further is built here.
+"""
