@@ -218,19 +218,20 @@ def _word_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(result)
 
 
-def _words_as_code_points(a: Column, b: Column) -> tuple[Column, Column]:
-    """Write both word lists with one code point per distinct word of the pair."""
-    vocabulary = F.array_distinct(F.concat(a, b))
+def _word_levenshtein(a: Column, b: Column) -> Column:
+    """``levenshtein`` over word lists, one code point per distinct word of the pair."""
 
-    def point(word: Column) -> Column:
-        at = F.array_position(vocabulary, word) + 255
-        at = F.when(at >= 0xD800, at + 0x800).otherwise(at)  # step over the surrogates
-        return F.lpad(F.hex(at), 8, "0")
+    def encode(side: Column, vocabulary: Column) -> Column:
+        def point(word: Column) -> Column:
+            at = F.array_position(vocabulary, word) + 255
+            at = F.when(at >= 0xD800, at + 0x800).otherwise(at)  # step over the surrogates
+            return F.lpad(F.hex(at), 8, "0")
 
-    def encode(side: Column) -> Column:
         return F.decode(F.unhex(F.array_join(F.transform(side, point), "")), "UTF-32")
 
-    return encode(a), encode(b)
+    # a one-element transform names the vocabulary, so that it is built once per row
+    vocabularies = F.array(F.array_distinct(F.concat(a, b)))
+    return F.transform(vocabularies, lambda v: F.levenshtein(encode(a, v), encode(b, v)))[0]
 
 
 def _banded(a: Column, b: Column) -> Column:
@@ -265,4 +266,4 @@ def word_edits(a: Column | str, b: Column | str, engine: str = "arrow") -> Colum
     if engine == "arrow":
         return _word_edits_batch(a, b)
     a, b = (F.array_remove(F.split(F.coalesce(x, F.lit("")), " "), "") for x in (a, b))
-    return F.levenshtein(*_words_as_code_points(a, b))
+    return _word_levenshtein(a, b)
