@@ -57,7 +57,7 @@ def _quantiles_sql() -> str:
     parts = []
     for feature in profile.QUANTILE_FEATURES:
         for name, q in profile.QUANTILES.items():
-            parts.append(f"quantile_cont({feature}, {q}) AS {feature}_{name}")
+            parts.append(f"round(quantile_cont({feature}, {q}), 6) AS {feature}_{name}")
     return t.with_sql(
         "corpus",
         f"SELECT language, original_split, count(*) AS rows, {', '.join(parts)} FROM f GROUP BY ALL",
@@ -70,7 +70,10 @@ def _quantiles_sql() -> str:
 
 @query(_quantiles_sql())
 def length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.length_quantiles(profile.text_features(t.corpus(spark, sf)))
+    """Rounded, since the two engines interpolate with differently ordered arithmetic."""
+    wide = profile.length_quantiles(profile.text_features(t.corpus(spark, sf)))
+    doubles = [c for c, kind in wide.dtypes if kind == "double"]
+    return wide.withColumns({c: F.round(c, 6) for c in doubles})
 
 
 _TOKENS = f"""SELECT language, original_split, unnest({t.tokens_sql(NORM)}) AS token FROM corpus"""
@@ -151,14 +154,16 @@ def top_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     t.with_sql(
         "corpus",
-        f"""SELECT u.language, u.token AS unseen, u.checked_count AS unseen_count,
+        f"""SELECT DISTINCT u.language, u.token AS unseen, u.checked_count AS unseen_count,
             k.token AS known, k.known_count
-        FROM counts u JOIN counts k ON u.language = k.language
-            AND abs(length(u.token) - length(k.token)) <= 1
+        FROM forms u JOIN forms k ON u.language = k.language AND u.form = k.form
         WHERE u.checked_count > 0 AND u.known_count = 0 AND k.known_count > 0
             AND {t.chars_distance_sql('u.token', 'k.token')} = 1""",
         tok=_TOKENS,
         counts=_COUNTS,
+        forms="""SELECT *, token AS form FROM counts UNION ALL
+            SELECT *, unnest(list_transform(range(1, length(token) + 1),
+                lambda i: token[1:i - 1] || token[i + 1:])) FROM counts""",
     )
 )
 def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,7 +329,7 @@ def _report_sql() -> str:
         UNION ALL SELECT 'test_id_prefix_counts', split_part(ID, '_', 1), count(*)
             FROM test_ids GROUP BY ALL
         UNION ALL SELECT 'transcript_length_by_language_split', language || '/' || original_split,
-            quantile_cont(length({NORM}), 0.95) FROM corpus GROUP BY language, original_split
+            round(quantile_cont(length({NORM}), 0.95), 6) FROM corpus GROUP BY language, original_split
         UNION ALL SELECT 'validation_oov_by_language', language,
             coalesce(sum(checked_count) FILTER (known_count = 0), 0)::DOUBLE
             / greatest(sum(checked_count), 1)::DOUBLE FROM counts GROUP BY language
@@ -360,7 +365,11 @@ def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
             table = table.where(F.col("check") == "repeated_transcriptions")
         parts.append(
             table.select(
-                F.lit(name).alias("table"), key.alias("key"), F.col(value).cast("double").alias("value")
+                F.lit(name).alias("table"),
+                key.alias("key"),
+                (F.round(value, 6) if value == "char_len_p95" else F.col(value))
+                .cast("double")
+                .alias("value"),
             )
         )
     whole = parts[0]

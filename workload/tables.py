@@ -153,7 +153,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("clips/"), _document_id(), F.lit(".wav")).alias("path"),
             F.when(F.col("source") != "src7", F.encode("text", "UTF-8")).alias("bytes"),
         ).alias("audio"),
-        F.upper("text").alias("transcription"),
+        F.lower("text").alias("transcription"),
         F.col("lang").alias("language"),
         _split().alias("split"),
     )
@@ -266,7 +266,7 @@ SQL: dict[str, str] = {
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "recordings": f"""
         SELECT lang || '_' || doc_id AS id, 'clips/' || lang || '_' || doc_id || '.wav' AS path,
-               source <> 'src7' AS bytes_present, upper(text) AS transcription,
+               source <> 'src7' AS bytes_present, lower(text) AS transcription,
                lang AS language, {SPLIT_SQL} AS split
         FROM documents
         UNION ALL SELECT {PAGE_ID_SQL}, url, false, NULL,
@@ -283,5 +283,6 @@ def with_sql(names: str, body: str, **more: str) -> str:
         for each in (*_NEEDS.get(name, ()), name):
             if each not in ordered:
                 ordered.append(each)
-    tables = [f"{n} AS ({SQL[n]})" for n in ordered] + [f"{n} AS ({s})" for n, s in more.items()]
+    tables = [f"{n} AS MATERIALIZED ({SQL[n]})" for n in ordered]
+    tables += [f"{n} AS MATERIALIZED ({s})" for n, s in more.items()]
     return f"WITH {', '.join(tables)} {body}"
