@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD_BITS = 64
 # Advancing pairs together pays off from about this many pairs per 64-bit block of
@@ -185,7 +186,7 @@ def _per_pair(
     return local[: len(a)], local[len(a) :], int(local.max()) + 1 if len(local) else 1
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _char_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     result = np.zeros(len(a), dtype=np.int32)
     rows, a, b = _differing(a, b)
@@ -198,7 +199,7 @@ def _char_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(result)
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _word_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     result = np.zeros(len(a), dtype=np.int32)
     rows, a, b = _differing(a, b)

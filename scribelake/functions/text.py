@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What normalisation turns into a space.
 PUNCTUATION = string.punctuation
@@ -29,12 +30,12 @@ def is_ascii(text: Column | str) -> Column:
     return F.octet_length(_col(text)) == F.char_length(_col(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_batch(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfd_batch(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written for.  The skew, rebalance and local-shuffle
 # decisions are left to adaptive execution; the byte limit keeps an Arrow batch of
@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df, name: str):
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet to shared storage and reading it back.
 
     Unlike an executor-local cache the table survives the loss of any executor.
@@ -55,3 +55,14 @@ def materialise(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that comes in fewer pieces than there are cores.
+
+    A file of few row groups would otherwise feed all per-row work to a few tasks.  A
+    table large enough to fill the cluster is returned as it is, without a shuffle.
+    Meant for plain scans, whose number of pieces is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
