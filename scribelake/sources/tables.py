@@ -128,8 +128,11 @@ def _parse_file(file: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 def malformed_rows(df: DataFrame) -> int:
     """Lines a native dialect could not fit to the columns."""
-    # the reader needs at least one data column next to the corrupt one
-    return df.where(F.col(CORRUPT).isNotNull()).select(df.columns[0], CORRUPT).count()
+    # a data column takes part, since the reader refuses to fill the corrupt one alone
+    row = df.agg(
+        F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"), F.count(df.columns[0])
+    ).first()
+    return row["malformed"]
 
 
 def write_table(
