@@ -135,16 +135,17 @@ def _batch_distances(
     level[len_b == 0] = -1
     for lv in np.unique(level[level >= 0]):
         members = np.flatnonzero(level == lv)
-        if len(members) < _PAIRS_PER_BLOCK * 2**lv:
+        # pairs advanced at once: no more than the table has room for
+        size = max(1, _TABLE_CELLS // int(alphabet * 2**lv))
+        if min(len(members), size) < _PAIRS_PER_BLOCK * 2**lv:
             for i in members:
                 result[i] = _pair_distance(
                     codes_a[start_a[i] : start_a[i] + len_a[i]],
                     codes_b[start_b[i] : start_b[i] + len_b[i]],
                 )
             continue
-        # similar text lengths side by side; chunks small enough for the table
+        # similar text lengths side by side, so that a chunk finishes together
         members = members[np.argsort(len_b[members], kind="stable")]
-        size = max(_PAIRS_PER_BLOCK, _TABLE_CELLS // int(alphabet * 2**lv))
         for at in range(0, len(members), size):
             part = members[at : at + size]
             result[part] = _group_distances(

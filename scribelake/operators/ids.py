@@ -114,8 +114,14 @@ def text_digest(text: Column | str) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def repeat_count(df: DataFrame, column: str, name: str = "repeated") -> DataFrame:
-    """One row: rows beyond the first of each distinct value; NULL is a value too."""
-    key = text_digest(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+def repeat_count(
+    df: DataFrame, column: str, name: str = "repeated", *, digest: bool = True
+) -> DataFrame:
+    """One row: rows beyond the first of each distinct value; NULL is a value too.
+
+    Short values such as ids are better grouped as they are, without ``digest``.
+    """
+    long_text = digest and dict(df.dtypes)[column] == "string"
+    key = text_digest(column) if long_text else F.col(column)
     counted = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias(name))

@@ -61,14 +61,16 @@ def fill_template(
 
     Ids without a prediction get ''; predictions of unknown ids are ignored; column
     order is kept.  ``position`` names a column to sort by (and drop), for a template
-    whose row order matters.
+    whose row order matters.  Should an id have several predictions, the largest text
+    is used; combining them first keeps a repeated id from multiplying rows, and the
+    join reuses that shuffle.
     """
     id_column = need_role(template.columns, "id")
     targets = [c for c in template.columns if c not in (id_column, position)]
     if not targets:
         raise ValueError("the template has no column to fill")
-    answers = predictions.select(
-        F.col("id").alias("_id"), F.col("prediction").alias("_prediction")
+    answers = predictions.groupBy(F.col("id").alias("_id")).agg(
+        F.max("prediction").alias("_prediction")
     )
     joined = template.join(answers, F.col(id_column).cast("string") == F.col("_id"), "left")
     if position is not None:

@@ -39,7 +39,7 @@ def relabel(
     if order is not None:
         labels = labels.groupBy(key).agg(F.max_by(label, order).alias(label))
     else:
-        again = repeat_count(labels, key).first()["repeated"]
+        again = repeat_count(labels, key, digest=False).first()["repeated"]
         if again:
             raise IncompleteError(f"{again} label rows repeat an id")
     columns = rows.columns
