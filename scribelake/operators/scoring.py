@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scribelake.functions import distance, text
 from scribelake.functions.roles import canonical
 from scribelake.operators.ids import IncompleteError, pairing_audit
+from scribelake.operators.selection import top_per_group
 
 EDIT_COLUMNS = ("char_edits", "char_total", "word_edits", "word_total")
 
@@ -155,9 +156,16 @@ def with_row_rates(scored: DataFrame) -> DataFrame:
     return named.withColumn("error", combine(F.col("wer"), F.col("cer"))[0])
 
 
-def worst_rows(scored: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` pairs with the highest error; ties go to the smaller id."""
-    return with_row_rates(scored).orderBy(F.desc("error"), "id").limit(n)
+def worst_rows(scored: DataFrame, n: int = 100, by: str | None = None) -> DataFrame:
+    """The ``n`` pairs with the highest error; ties go to the smaller id.
+
+    With ``by``, the ``n`` worst of each value of that column, with their rank.
+    """
+    rated = with_row_rates(scored)
+    if by is None:
+        return rated.orderBy(F.desc("error"), "id").limit(n)
+    known = rated.where(F.col(by).isNotNull())
+    return top_per_group(known, [by], [F.desc("error"), F.asc("id")], n, spread="id")
 
 
 def disagreements(first: DataFrame, second: DataFrame, *, engine: str = "arrow") -> DataFrame:

@@ -66,6 +66,11 @@ def first_n(df: DataFrame, n: int, order: str = "id", *, strict: bool = False) -
     return df.orderBy(order).limit(n)
 
 
+def shown(df: DataFrame, max_rows: int = 20) -> DataFrame:
+    """The first rows of a result table, for display; order the table first."""
+    return df.limit(max_rows)
+
+
 def _shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 

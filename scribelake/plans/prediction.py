@@ -67,8 +67,8 @@ def dry_run(test: DataFrame | None, template: DataFrame | None) -> DataFrame | N
 
 
 def ledger_record(spark: SparkSession, run: Run, status: str) -> DataFrame:
-    """One ledger row, stamped with the session's current time."""
-    now = F.current_timestamp()
+    """One ledger row, stamped with the current time in UTC."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     fields = {
         "stage": run.stage,
         "hypothesis": run.hypothesis,

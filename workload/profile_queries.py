@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.functions.roles import canonical
-from scribelake.operators import ids, profile, vocabulary
+from scribelake.operators import ids, profile, selection, vocabulary
 from scribelake.plans import corpus as corpus_plan
 from workload import tables as t
 from workload.registry import query
@@ -53,6 +53,32 @@ def test_id_prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.prefix_counts(canonical(t.test_ids(spark, sf)))
 
 
+@query(
+    t.with_sql(
+        "test_ids",
+        """SELECT split_part(ID, '_', 1) AS id_prefix, count(*) AS rows FROM (
+            SELECT ID FROM test_ids UNION ALL SELECT source FROM documents) GROUP BY ALL""",
+    )
+)
+def id_group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids with and without an underscore; the latter are groups of their own."""
+    plain = t.read(spark, sf, "documents").select(F.col("source").alias("ID"))
+    both = canonical(t.test_ids(spark, sf).unionByName(plain))
+    return profile.prefix_counts(both, whole_without_underscore=True)
+
+
+@query(
+    t.with_sql(
+        "corpus",
+        """SELECT language, original_split, count(*) AS rows FROM corpus GROUP BY ALL
+        ORDER BY language, original_split LIMIT 5""",
+    )
+)
+def shown_rows(spark: SparkSession, sf: str) -> DataFrame:
+    counts = profile.counts_by(t.corpus(spark, sf), "language", "original_split")
+    return selection.shown(counts, 5)
+
+
 def _quantiles_sql() -> str:
     parts = []
     for feature in profile.QUANTILE_FEATURES:

@@ -131,6 +131,18 @@ def worst_rows(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.worst_rows(_scored(spark, sf), 100).select("id", "wer", "cer", "error")
 
 
+@query(
+    scored_sql("model_a")
+    + f"""SELECT * FROM (SELECT id, language, error, row_number() OVER (
+            PARTITION BY language ORDER BY error DESC, id) AS rank
+        FROM (SELECT id, language, 0.5::DOUBLE * wer + 0.5::DOUBLE * cer AS error
+              FROM (SELECT id, language, {_ROW_RATES} FROM scored))) WHERE rank <= 25"""
+)
+def worst_rows_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    worst = scoring.worst_rows(_scored(spark, sf), 25, by="language")
+    return worst.select("id", "language", "error", "rank")
+
+
 @query(
     t.with_sql(
         "utterances model_a model_b",

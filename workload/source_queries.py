@@ -84,6 +84,44 @@ def many_languages_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "language", "audio.path")
 
 
+@query(
+    t.with_sql(
+        "recordings",
+        "SELECT id, language, path FROM recordings WHERE language IN ('en', 'fr', 'es', 'de')",
+    )
+)
+def concatenated_splits(spark: SparkSession, sf: str) -> DataFrame:
+    store = t.recording_store(spark, sf)
+    parts = [
+        splits.load_split(store, split, [*LANGUAGES, "de"], keep_text=False)
+        for split in ("train", "validation", "test")
+    ]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return whole.select("id", "language", "audio.path")
+
+
+@query(
+    t.with_sql(
+        "test_ids template",
+        """SELECT (SELECT count(*) FROM test_ids) AS test_rows,
+            (SELECT count(*) FROM template) AS sample_rows,
+            (SELECT count(DISTINCT ID) FROM test_ids) AS test_unique_ids,
+            (SELECT count(DISTINCT ID) FROM template) AS sample_unique_ids,
+            (SELECT count(*) FROM (SELECT ID FROM test_ids EXCEPT SELECT ID FROM template))
+            + (SELECT count(*) FROM (SELECT ID FROM template EXCEPT SELECT ID FROM test_ids))
+            AS test_sample_symmetric_difference, 'dry_run_validated' AS status""",
+    )
+)
+def prediction_dry_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Validates the inputs, logs the dry run, predicts nothing."""
+    book = scratch_path(spark, "ledger")
+    checked = prediction.dry_run(t.test_ids(spark, sf), t.template(spark, sf))
+    prediction.log_dry_run(spark, prediction.Run("Dry run"), book)
+    logged = tables.read_table(spark, book, columns=ledger.LEDGER_COLUMNS)
+    status = logged.agg(F.max("status").alias("status")).withColumn("part", F.lit(1))
+    return checked.withColumn("part", F.lit(1)).join(status, "part").drop("part")
+
+
 @query(
     t.with_sql(
         "recordings corpus",
