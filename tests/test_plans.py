@@ -62,5 +62,16 @@ def test_spread_leaves_wide_scans_alone(spark, stored):
     assert spread(spark.range(0, 100, 1, numPartitions=1)).rdd.getNumPartitions() == 8
 
 
-def test_scratch_folder_comes_from_the_session(spark):
-    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+def test_scratch_folder_comes_from_the_session():
+    from types import SimpleNamespace
+
+    def session(setting, master="local[2]"):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: setting),
+            sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        )
+
+    assert scratch_root(session("hdfs://shared/dir/")) == "hdfs://shared/dir"
+    assert scratch_root(session(None)) == scratch_root(session(None)) != ""
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(session(None, "yarn"))
