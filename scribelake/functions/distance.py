@@ -26,7 +26,7 @@ _WORD_BITS = 64
 # pattern; smaller groups go through the single-pair form.
 _PAIRS_PER_BLOCK = 16
 # Cells of the symbol table built at once (8 bytes each).
-_TABLE_CELLS = 4_000_000
+_TABLE_CELLS = 500_000
 
 
 def _pair_distance(pattern: np.ndarray, text: np.ndarray) -> int:
@@ -91,25 +91,43 @@ def _group_distances(
     steps = int(len_b.max())
     # pairs are sorted by text length, so those still running are a prefix
     running = np.searchsorted(-len_b, -np.arange(steps), side="left")
+    # every operation below writes into one of these, so that no step allocates
+    scratch = np.empty((8, pairs), dtype=np.uint64)
+    live = -1
     for step in range(steps):
-        live = int(running[step])
-        entry = base[:live] + codes_b[start_b[:live] + step]
-        grow = np.full(live, one)
-        shrink = np.zeros(live, dtype=np.uint64)
-        for k in range(blocks):
-            pv, mv = up[k, :live], down[k, :live]
-            match = table[k][entry]
-            diagonal = match | mv
-            match |= shrink
-            across = (((match & pv) + pv) ^ pv) | match
-            right = mv | ~(across | pv)
-            left = pv & across
-            next_grow, next_shrink = right >> top, left >> top
-            right = (right << one) | grow
-            left = (left << one) | shrink
-            up[k, :live] = left | ~(diagonal | right)
-            down[k, :live] = right & diagonal
-            grow, shrink = next_grow, next_shrink
+        if live != running[step]:
+            live = int(running[step])
+            match, diagonal, across, right, left, grow, shrink, carry = scratch[:, :live]
+            columns = [(table[k], up[k, :live], down[k, :live]) for k in range(blocks)]
+            first, offset = start_b[:live], base[:live]
+        entry = codes_b[first + step]
+        entry += offset
+        grow.fill(1)
+        shrink.fill(0)
+        for places, pv, mv in columns:
+            np.take(places, entry, out=match, mode="clip")
+            np.bitwise_or(match, mv, out=diagonal)
+            np.bitwise_or(match, shrink, out=match)
+            np.bitwise_and(match, pv, out=across)
+            np.add(across, pv, out=across)
+            np.bitwise_xor(across, pv, out=across)
+            np.bitwise_or(across, match, out=across)
+            np.bitwise_or(across, pv, out=right)
+            np.invert(right, out=right)
+            np.bitwise_or(right, mv, out=right)
+            np.bitwise_and(across, pv, out=left)
+            np.right_shift(right, top, out=carry)
+            np.left_shift(right, one, out=right)
+            np.bitwise_or(right, grow, out=right)
+            grow, carry = carry, grow
+            np.right_shift(left, top, out=carry)
+            np.left_shift(left, one, out=left)
+            np.bitwise_or(left, shrink, out=left)
+            shrink, carry = carry, shrink
+            np.bitwise_or(diagonal, right, out=pv)
+            np.invert(pv, out=pv)
+            np.bitwise_or(pv, left, out=pv)
+            np.bitwise_and(right, diagonal, out=mv)
 
     total = len_b.astype(np.int64).copy()
     for k in range(blocks):
@@ -130,14 +148,15 @@ def _batch_distances(
     start_a, start_b = np.cumsum(len_a) - len_a, np.cumsum(len_b) - len_b
     result = np.maximum(len_a, len_b).astype(np.int64)  # right when either side is empty
     blocks = -(-len_a // _WORD_BITS)
-    # round up to a power of two, so that a batch falls into few groups
-    level = np.where(blocks > 0, np.ceil(np.log2(np.maximum(blocks, 1))).astype(np.int64), -1)
-    level[len_b == 0] = -1
-    for lv in np.unique(level[level >= 0]):
-        members = np.flatnonzero(level == lv)
+    # long patterns are grouped by powers of two, so that a batch falls into few groups
+    powers = 2 ** np.ceil(np.log2(np.maximum(blocks, 1))).astype(np.int64)
+    level = np.where(blocks <= 8, blocks, powers)
+    level[len_b == 0] = 0
+    for depth in np.unique(level[level > 0]):
+        members = np.flatnonzero(level == depth)
         # pairs advanced at once: no more than the table has room for
-        size = max(1, _TABLE_CELLS // int(alphabet * 2**lv))
-        if min(len(members), size) < _PAIRS_PER_BLOCK * 2**lv:
+        size = max(1, _TABLE_CELLS // int(alphabet * depth))
+        if min(len(members), size) < _PAIRS_PER_BLOCK * depth:
             for i in members:
                 result[i] = _pair_distance(
                     codes_a[start_a[i] : start_a[i] + len_a[i]],
