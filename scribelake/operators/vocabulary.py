@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import text
 from scribelake.operators.selection import top_per_group
-from scribelake.session import materialise
+from scribelake.session import materialise, spread
 
 
 def exploded_tokens(corpus: DataFrame, *keys: str, column: str = "transcription") -> DataFrame:
@@ -119,25 +119,29 @@ def spelling_variants(counts: DataFrame, language: str = "language") -> DataFram
 
     Two words are at most one edit apart only if they share a form with at most one
     character removed.  Joining on such forms finds every pair without comparing all
-    words of a block: a form matches only words that extend it by one character.
+    words of a block: a form matches only words that extend it by one character.  The
+    join is on a hash of language and form; what a collision adds, the distance removes.
 
     Both sides start from the same counts, which are written to scratch storage first;
     otherwise the corpus would be tokenised once for each.  The join is a sort-merge
     join, because the number of forms is not visible in the size of the counts.
     """
-    counts = materialise(counts, "vocabulary")
+    counts = spread(materialise(counts, "vocabulary"))
     forms = counts.select(
         language, "token", "checked_count", "known_count", F.explode(_deletions()).alias("form")
-    )
+    ).withColumn("form", F.xxhash64(language, "form"))
     new = forms.where((F.col("checked_count") > 0) & (F.col("known_count") == 0)).select(
-        language, "form", F.col("token").alias("unseen"), F.col("checked_count").alias("unseen_count")
+        "form",
+        language,
+        F.col("token").alias("unseen"),
+        F.col("checked_count").alias("unseen_count"),
     )
     old = forms.where(F.col("known_count") > 0).select(
-        language, "form", F.col("token").alias("known"), "known_count"
+        "form", F.col(language).alias("_language"), F.col("token").alias("known"), "known_count"
     )
     return (
-        new.join(old.hint("merge"), [language, "form"])
-        .where(F.levenshtein("unseen", "known", 1) == 1)
+        new.join(old.hint("merge"), "form")
+        .where((F.col(language) == F.col("_language")) & (F.levenshtein("unseen", "known", 1) == 1))
         .select(language, "unseen", "unseen_count", "known", "known_count")
         .distinct()
     )

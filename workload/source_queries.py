@@ -269,12 +269,12 @@ def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     t.with_sql(
-        "corpus template",
-        "SELECT id, transcription FROM corpus WHERE id IN (SELECT ID FROM template)",
+        "corpus test_ids",
+        "SELECT id, transcription FROM corpus WHERE id IN (SELECT ID FROM test_ids)",
     )
 )
 def wanted_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.only_ids(t.corpus(spark, sf), canonical(t.template(spark, sf))).select(
+    return selection.only_ids(t.corpus(spark, sf), canonical(t.test_ids(spark, sf))).select(
         "id", "transcription"
     )
 
@@ -319,12 +319,12 @@ def relabel_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     t.with_sql(
-        "corpus template",
-        "SELECT id FROM corpus WHERE id NOT IN (SELECT ID FROM template) ORDER BY id LIMIT 10",
+        "corpus test_ids",
+        "SELECT id FROM corpus WHERE id NOT IN (SELECT ID FROM test_ids) ORDER BY id LIMIT 10",
     )
 )
 def first_missing_ids(spark: SparkSession, sf: str) -> DataFrame:
-    absent = ids.missing_ids(t.corpus(spark, sf), canonical(t.template(spark, sf)))
+    absent = ids.missing_ids(t.corpus(spark, sf), canonical(t.test_ids(spark, sf)))
     return ids.first_sorted(absent, 10)
 
 

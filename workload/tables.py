@@ -11,8 +11,8 @@ flagged        corpus with the defects that the integrity checks look for
 utterances     documents cut into consecutive utterances
 model_a/b      what two imagined recognisers make of each utterance
 pages_asked    ids of the pages, to be predicted
-test_ids       pages_asked and, as a leak to be found, one source of documents
-template       pages served over https and the labelled documents
+test_ids       pages_asked and, as a leak to be found, the labelled documents
+template       the pages and, never predicted, the benchmark items
 finer          a finer language code for labelled documents
 =============  ==================================================================
 """
@@ -118,20 +118,17 @@ def pages_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaked = read(spark, sf_dir, "documents").where(F.col("source") == "src19")
+    leaked = read(spark, sf_dir, "documents").join(
+        read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
+    )
     return pages_asked(spark, sf_dir).unionByName(leaked.select(_document_id().alias("ID")))
 
 
 def template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secure = read(spark, sf_dir, "pages").where(F.col("url").startswith("https"))
-    labelled = read(spark, sf_dir, "documents").join(
-        read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"
-    )
-    return (
-        secure.select(_page_id().alias("ID"))
-        .unionByName(labelled.select(_document_id().alias("ID")))
-        .select("ID", F.lit("").alias("Target"))
+    items = read(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("ID")
     )
+    return pages_asked(spark, sf_dir).unionByName(items).select("ID", F.lit("").alias("Target"))
 
 
 def finer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,11 +254,11 @@ SQL: dict[str, str] = {
     "pages_asked": f"SELECT {PAGE_ID_SQL} AS ID FROM pages",
     "test_ids": f"""
         SELECT {PAGE_ID_SQL} AS ID FROM pages
-        UNION ALL SELECT lang || '_' || doc_id FROM documents WHERE source = 'src19'""",
-    "template": f"""
-        SELECT {PAGE_ID_SQL} AS ID, '' AS Target FROM pages WHERE url LIKE 'https%'
-        UNION ALL SELECT lang || '_' || doc_id, '' FROM documents
+        UNION ALL SELECT lang || '_' || doc_id FROM documents
         WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "template": f"""
+        SELECT {PAGE_ID_SQL} AS ID, '' AS Target FROM pages
+        UNION ALL SELECT 'item_' || item_id, '' FROM benchmark""",
     "finer": """
         SELECT lang || '_' || d.doc_id AS id, lang || '_q' || quality AS language
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
