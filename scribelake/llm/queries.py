@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import exact_dedup, mixing, sharding
+from scribelake.llm import bpe, exact_dedup, mixing, sharding, simhash
 from scribelake.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +139,35 @@ FROM ordered"""
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes every document."""
     return mixing.mix_report(read(spark, sf_dir, "documents"), **MIX)
+
+
+# ------------------------------------------------------------------ 2: BPE
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents and what they decode to, as digests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+# ------------------------------------------------------------------ 8: SimHash
+
+
+@register("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the component they belong to."""
+    labels = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return labels.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
