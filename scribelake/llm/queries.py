@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import bpe, exact_dedup, mixing, sharding, simhash
+from scribelake.llm import bpe, exact_dedup, language_id, mixing, quality, sharding, simhash, url_rules
 from scribelake.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def bucket(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return apply_settings(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -171,3 +176,64 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+# ------------------------------------------------------------------ 6: URL rules
+
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+OP6_SQL = rf"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(map(str, RULES))}),
+urls AS (
+    SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+    FROM pages),
+parts AS (
+    SELECT page_id,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, coalesce(rest, '') AS rest FROM urls)),
+fits AS (
+    SELECT p.page_id, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS won
+    FROM parts p JOIN rules r
+      ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, won.rule AS rule, coalesce(won.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id"""
+
+
+@register("op6_url_rules", OP6_SQL)
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's URL."""
+    pages = read(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.rule_table(spark, RULES))
+
+
+# ------------------------------------------------------------------ 7: language
+
+
+@register("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from four fifths of them."""
+    docs = read(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(bucket("doc_id", 5) == 0, F.lit(True))
+    )
+    model = language_id.fit(docs.where("NOT held_out").select("text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+# ------------------------------------------------------------------ 10: quality
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from three quarters of the labels."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, bucket("doc_id", 4) != 2)
+    held_out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(True)).alias("held_out")
+    return quality.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
