@@ -36,6 +36,8 @@ THRESHOLD = 0.7
 _STEPS = 600
 _RATE = 0.05
 _DECAY = 1e-4
+_FEW_WORDS = 4
+_CLIP = 3.0
 # printable ASCII that is neither letter, digit nor space
 _MARKS = np.array([c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
 
@@ -75,6 +77,12 @@ def properties(text: str) -> np.ndarray:
 N_PROPERTIES = 16 + len(_MARKS)
 
 
+def _standard(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Centred and scaled; the fewer words a text has, the less its rates say."""
+    words = np.expm1(rows[:, :1])
+    return np.clip((rows - centre) / scale, -_CLIP, _CLIP) * (words / (words + _FEW_WORDS))
+
+
 @dataclass
 class Model:
     """Weights on centred and scaled properties; without weights only the prior."""
@@ -88,7 +96,7 @@ class Model:
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(rows), self.prior)
-        z = np.clip((rows - self.centre) / self.scale, -8, 8) @ self.weights + self.bias
+        z = _standard(rows, self.centre, self.scale) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -97,8 +105,7 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Mode
     if not len(positive) or not len(unlabelled):
         return Model(prior)
     centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    pos = np.clip((positive - centre) / scale, -8, 8)
-    unl = np.clip((unlabelled - centre) / scale, -8, 8)
+    pos, unl = (_standard(x, centre, scale) for x in (positive, unlabelled))
     pos, unl = (np.hstack([x, np.ones((len(x), 1))]) for x in (pos, unl))
     w = np.zeros(pos.shape[1])
     mean, square = np.zeros_like(w), np.zeros_like(w)

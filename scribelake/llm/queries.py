@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import bpe, exact_dedup, language_id, mixing, quality, sharding, simhash, url_rules
+from scribelake.llm import bpe, chat, exact_dedup, language_id, mixing, quality, sharding, simhash, url_rules
 from scribelake.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,57 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARDS)
 
 
+# ------------------------------------------------------------------ 4: chat
+
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def conversations_with_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that is made of control strings."""
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role"))
+                      for k, role in enumerate(("user", "assistant"))))
+    made = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.explode(turns).alias("t")
+    ).select("conv_id", F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(CONTROL_TEXT).alias("text"))
+    return given.unionByName(made)
+
+
+@register("op4_chat_windows")
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted windows of every conversation say when they are read back."""
+    windows = chat.read_windows(chat.format_windows(conversations_with_control(spark, sf_dir)))
+    turns = F.array_join(
+        F.transform("new_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    found = windows.select(
+        "conv_id",
+        F.struct(
+            "window",
+            F.size("new_turns").cast("long").alias("n"),
+            turns.alias("turns"),
+            F.array_join("loss_texts", "").alias("loss"),
+            F.char_length("text").cast("long").alias("chars"),
+        ).alias("w"),
+    )
+    whole = found.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))
+
+    def joined(field: str) -> Column:
+        return F.array_join(F.transform("ws", lambda w: w[field]), "")
+
+    def added(field: str) -> Column:
+        return F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + w[field])
+
+    return whole.select(
+        "conv_id",
+        added("n").alias("n_turns"),
+        F.sha2(joined("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(joined("loss")).cast("long").alias("loss_chars"),
+        F.sha2(joined("loss").cast("binary"), 256).alias("loss_sha256"),
+        added("chars").alias("formatted_chars"),
+    )
+
+
 # ------------------------------------------------------------------ 5: exact dedup
 
 
