@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import bpe, chat, exact_dedup, language_id, mixing, quality, sharding, simhash, url_rules
+from scribelake.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    language_id,
+    mixing,
+    neighbours,
+    quality,
+    sharding,
+    simhash,
+    url_rules,
+)
 from scribelake.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +44,10 @@ def bucket(id_col: str, parts: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    apply_settings(spark)
+    # whole documents go to Python: fewer at a time than of short rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 # ------------------------------------------------------------------ 3: sharding
@@ -288,3 +302,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels, bucket("doc_id", 4) != 2)
     held_out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(True)).alias("held_out")
     return quality.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
+
+
+# ------------------------------------------------------------------ 1: neighbours
+
+
+@register("op1_hilbert_neighbours")
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("id") % 50 == 0, dim=64)
