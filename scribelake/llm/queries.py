@@ -43,10 +43,14 @@ def bucket(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """The library's settings; whole documents go to Python, so fewer rows at a time."""
     apply_settings(spark)
-    # whole documents go to Python: fewer at a time than of short rows
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
