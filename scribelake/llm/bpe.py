@@ -1,13 +1,14 @@
 """Byte-level BPE, encoding and decoding.
 
-Texts are cut at the special tokens, then into words.  Each new word is encoded by a
+Texts are cut at the special tokens, then into words.  Each distinct word of a
+batch is encoded once, by a
 *contiguous rank array*: the parts between its boundaries and the ranks of adjacent parts
 lie side by side in two arrays; the smallest rank is found by a scan, its boundary is
 deleted and the two neighbouring ranks are looked up anew.  The arrays of some thousand
 words of like length are rows of one matrix and advance together.  That is quadratic in
 the number of parts, which is what one wants for the short words that make up text; words
 of more than ``LONG_WORD`` bytes (a run of letters without spaces) keep the candidates in a
-heap instead, with the same ids.  Ids come and go as packed 32-bit integers.
+heap instead, with the same ids.
 
 The vocabulary file is read once, by the driver, and sent to the executors; its size is
 checked against ``MAX_VOCABULARY_BYTES`` first.
@@ -19,15 +20,17 @@ that are not UTF-8 decode to the replacement character.  Other columns only pass
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 LONG_WORD = 64
 MAX_VOCABULARY_BYTES = 64 << 20
-_REMEMBERED_PIECES = 500_000
-_WORDS_AT_ONCE = 4096
-_CHARS_AT_ONCE = 1 << 21
+_WORDS_AT_ONCE = 8192
+_CHARS_AT_ONCE = 1 << 24
+_RUNS_AT_ONCE = 1 << 18
 # fixed value: how the vocabulary's pre-tokeniser cuts words
 _WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,59 +57,76 @@ def _byte_letters() -> dict[str, int]:
     return letters | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+class Spelling:
+    """What each id stands for."""
+
+    def __init__(self, content: bytes) -> None:
+        parsed, letters = json.loads(content), _byte_letters()
+        self.bytes_of = {
+            i: bytes(letters[c] for c in token) for token, i in parsed["model"]["vocab"].items()
+        } | {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+
+    def decode(self, ids: list[int | None]) -> str:
+        spelt = self.bytes_of
+        return b"".join([spelt.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+
+
+class Ragged(NamedTuple):
+    """Many short runs of ids: run k is ``flat[first[k] : first[k] + count[k]]``."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
 class Vocabulary:
-    """The tables of one vocabulary file and the words met so far."""
+    """The merges of a vocabulary file."""
 
     def __init__(self, content: bytes) -> None:
         parsed = json.loads(content)
-        letters, vocab = _byte_letters(), parsed["model"]["vocab"]
-        byte_ids = np.zeros(256, dtype=np.int64)
-        for letter, byte in letters.items():
-            byte_ids[byte] = vocab[letter]
-        self.byte_ids = byte_ids
-        pairs = parsed["model"]["merges"]
+        vocab, pairs = parsed["model"]["vocab"], parsed["model"]["merges"]
+        self.byte_ids = np.zeros(256, dtype=np.int64)
+        for letter, byte in _byte_letters().items():
+            self.byte_ids[byte] = vocab[letter]
         #: by rank: what the pair merges into
         self.merged = np.array([vocab[left + right] for left, right in pairs], dtype=np.int64)
-        self.ranks = {(vocab[left], vocab[right]): r for r, (left, right) in enumerate(pairs)}
-        numbers = np.array([(a << 32) | b for a, b in self.ranks], dtype=np.int64)
-        order = np.argsort(numbers)
-        self.pair_numbers, self.pair_ranks = numbers[order], order
-        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
+        numbers = np.array([(vocab[left] << 32) | vocab[right] for left, right in pairs], dtype=np.int64)
+        self.pair_ranks = np.argsort(numbers)
+        self.pair_numbers = numbers[self.pair_ranks]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.special_ids = {token: np.array([i], dtype="<i4").tobytes() for token, i in self.special.items()}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
-        #: packed ids of the pieces that follow a space
-        self.spaced: dict[str, bytes] = {}
-
-    # -------------------------------------------------------------- encoding
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         numbers = (left << 32) | right
         at = np.minimum(np.searchsorted(self.pair_numbers, numbers), len(self.pair_numbers) - 1)
         return np.where(self.pair_numbers[at] == numbers, self.pair_ranks[at], _NO_RANK)
 
-    def _short(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words of similar length, whose rank arrays advance side by side."""
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    # -------------------------------------------------------------- words
+
+    def _side_by_side(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, space: bool):
+        """(ids, counts): the merges of words of like length, whose arrays are rows of a matrix."""
+        extra = int(space)
+        lengths = lengths + extra
         width = int(lengths.max())
-        rows, cols = np.arange(len(words)), np.arange(width)
+        cols = np.arange(width)
+        places = starts[:, None] + cols - extra
         inside = cols < lengths[:, None]
-        ids = np.full((len(words), width), -1, dtype=np.int64)
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        ranks = np.full((len(words), width), _NO_RANK, dtype=np.int64)
+        ids = np.where(inside, self.byte_ids[data[np.clip(places, 0, len(data) - 1)]], -1)
+        if space:
+            ids[:, 0] = self.byte_ids[0x20]
+        ranks = np.full((len(lengths), width), _NO_RANK, dtype=np.int64)
         both = inside[:, 1:]
         ranks[:, :-1][both] = self._rank(ids[:, :-1][both], ids[:, 1:][both])
-        done: list[np.ndarray | None] = [None] * len(words)
+        done, counts = np.empty((len(lengths), width), dtype=np.int32), np.empty(len(lengths), dtype=np.int64)
+        rows = np.arange(len(lengths))
         while len(rows):
             at = ranks.argmin(axis=1)
             line = np.arange(len(rows))
             least = ranks[line, at]
             ended = least == _NO_RANK
             if ended.any():
-                for k in np.flatnonzero(ended):
-                    done[rows[k]] = ids[k, : lengths[k]]
+                done[rows[ended]], counts[rows[ended]] = ids[ended], lengths[ended]
                 go = ~ended
                 rows, ids, ranks, lengths, at, least = (x[go] for x in (rows, ids, ranks, lengths, at, least))
                 line = np.arange(len(rows))
@@ -114,10 +134,10 @@ class Vocabulary:
                     break
             ids[line, at] = self.merged[least]
             # delete the boundary: what lies right of it moves up by one
-            moved = cols[None, :-1] + (cols[None, :-1] > at[:, None])
-            ids[:, :-1] = np.take_along_axis(ids, moved, axis=1)
-            moved = cols[None, :-1] + (cols[None, :-1] >= at[:, None])
-            ranks[:, :-1] = np.take_along_axis(ranks, moved, axis=1)
+            right_of = cols[None, :-1] > at[:, None]
+            ids[:, :-1] = np.where(right_of, ids[:, 1:], ids[:, :-1])
+            right_of = cols[None, :-1] >= at[:, None]
+            ranks[:, :-1] = np.where(right_of, ranks[:, 1:], ranks[:, :-1])
             ids[:, -1], ranks[:, -1] = -1, _NO_RANK
             lengths -= 1
             # refresh the ranks on both sides of the new part
@@ -125,97 +145,139 @@ class Vocabulary:
             ranks[right, at[right]] = self._rank(ids[right, at[right]], ids[right, at[right] + 1])
             left = np.flatnonzero(at > 0)
             ranks[left, at[left] - 1] = self._rank(ids[left, at[left] - 1], ids[left, at[left]])
-        return done
+        return done[cols < counts[:, None]], counts
 
     def _long(self, word: bytes) -> np.ndarray:
         """The same merges for a long word: lowest rank first, then leftmost."""
         ids = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-        n, ranks = len(ids), self.ranks
+        n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(ranks[pair], at, *pair) for at, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+        rank = self._rank(np.array(ids[:-1], dtype=np.int64), np.array(ids[1:], dtype=np.int64)).tolist()
+        queue = [(r, at, ids[at], ids[at + 1]) for at, r in enumerate(rank) if r != _NO_RANK]
         heapq.heapify(queue)
         while queue:
-            rank, at, a, b = heapq.heappop(queue)
+            least, at, a, b = heapq.heappop(queue)
             nxt = right[at]
             if ids[at] != a or nxt >= n or ids[nxt] != b:
                 continue
-            ids[at], ids[nxt] = int(self.merged[rank]), -1
+            ids[at], ids[nxt] = int(self.merged[least]), -1
             right[at] = right[nxt]
             if right[at] < n:
                 left[right[at]] = at
             for i, j in ((left[at], at), (at, right[at])):
-                if i >= 0 and j < n and (pair := (ids[i], ids[j])) in ranks:
-                    heapq.heappush(queue, (ranks[pair], i, *pair))
-        return np.array([i for i in ids if i >= 0], dtype=np.int64)
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """The packed ids of distinct words; words of like length are done together."""
-        spelt = sorted(((w.encode("utf-8"), w) for w in words), key=lambda pair: len(pair[0]))
-        count = bisect.bisect_right(spelt, LONG_WORD, key=lambda pair: len(pair[0]))
-        found = {w: self._long(b).astype("<i4").tobytes() for b, w in spelt[count:]}
-        for at in range(0, count, _WORDS_AT_ONCE):
-            some = spelt[at : min(at + _WORDS_AT_ONCE, count)]
-            ids = self._short([b for b, _ in some])
-            packed = np.concatenate(ids).astype("<i4").tobytes()
-            ends = (4 * np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))).tolist()
-            found.update((w, packed[i:j]) for (_, w), i, j in zip(some, [0, *ends], ends))
-        return found
-
-    def _learn(self, pieces: set[str], known: dict[str, bytes], prefix: str) -> None:
-        if len(known) + len(pieces) > _REMEMBERED_PIECES:
-            known.clear()
-        cut = [(p, _WORDS.findall(prefix + p)) for p in pieces]
-        words = list({w for _, some in cut for w in some})
-        ids = self._encode_words(words)
-        for piece, some in cut:
-            known[piece] = ids[some[0]] if len(some) == 1 else b"".join([ids[w] for w in some])
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of some texts, each packed as little-endian 32-bit integers.
+                if i >= 0 and j < n:
+                    found = int(self._rank(np.int64(ids[i]), np.int64(ids[j])))
+                    if found != _NO_RANK:
+                        heapq.heappush(queue, (found, i, ids[i], ids[j]))
+        return np.array([i for i in ids if i >= 0], dtype=np.int32)
+
+    def _encode_spelt(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, space: bool) -> Ragged:
+        """The ids of words given as stretches of ``data``, each after a space if ``space``."""
+        order = np.argsort(lengths, kind="stable")
+        short = order[: np.searchsorted(lengths[order], LONG_WORD, side="right")]
+        runs, counts = [np.empty(0, dtype=np.int32)], np.zeros(len(lengths), dtype=np.int64)
+        for at in range(0, len(short), _WORDS_AT_ONCE):
+            some = short[at : at + _WORDS_AT_ONCE]
+            ids, counts[some] = self._side_by_side(data, starts[some], lengths[some], space)
+            runs.append(ids)
+        for k in order[len(short) :]:
+            word = data[starts[k] : starts[k] + lengths[k]].tobytes()
+            ids = self._long(b" " + word if space else word)
+            counts[k] = len(ids)
+            runs.append(ids)
+        first = np.empty(len(lengths), dtype=np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return Ragged(np.concatenate(runs), first, counts)
+
+    def _encode_cut(self, pieces: list[list[str | int]]) -> Ragged:
+        """The ids of pieces given as their words; a number among them is an id already."""
+        words = list({w for words in pieces for w in words if isinstance(w, str)})
+        spelt = [w.encode("utf-8") for w in words]
+        lengths = np.fromiter(map(len, spelt), dtype=np.int64, count=len(spelt))
+        data = np.frombuffer(b"".join(spelt), dtype=np.uint8)
+        found = self._encode_spelt(data, np.cumsum(lengths) - lengths, lengths, False)
+        flat = found.flat.tolist()
+        ids = {w: flat[i : i + n] for w, i, n in zip(words, found.first.tolist(), found.count.tolist())}
+        runs = [[i for w in words for i in (ids[w] if isinstance(w, str) else (w,))] for words in pieces]
+        count = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        flat = np.fromiter(chain.from_iterable(runs), dtype=np.int32, count=int(count.sum()))
+        return Ragged(flat, np.cumsum(count) - count, count)
+
+    # -------------------------------------------------------------- texts
+
+    def _words(self, text: str) -> list[str | int]:
+        """Words and special ids of any text."""
+        if not (self.cut and self.cut.search(text)):
+            return _WORDS.findall(text)
+        parts = enumerate(self.cut.split(text))
+        # special tokens stand at the odd places of a split
+        return [w for k, s in parts for w in ([self.special[s]] if k % 2 else _WORDS.findall(s))]
+
+    def _encode_pieces(self, pieces: pa.StringArray) -> Ragged:
+        """The ids of distinct pieces, each with a space before it."""
+        letters = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        plain = pieces.filter(pa.array(letters))
+        ends = np.frombuffer(plain.buffers()[1], dtype=np.int32)[plain.offset :][: len(plain) + 1].astype(np.int64)
+        data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)
+        one = self._encode_spelt(data, ends[:-1], np.diff(ends), True)
+        rest = self._encode_cut([_WORDS.findall(" " + p) for p in pieces.filter(pa.array(~letters)).to_pylist()])
+        first, count = np.empty(len(pieces), dtype=np.int64), np.empty(len(pieces), dtype=np.int64)
+        first[letters], count[letters] = one.first, one.count
+        first[~letters], count[~letters] = rest.first + len(one.flat), rest.count
+        return Ragged(np.concatenate([one.flat, rest.flat]), first, count)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, one after the other, and where each text ends.
 
         A word may begin with a space and holds no other, so every space begins a piece,
-        except inside or at the end of white space: such a stretch is one piece as a whole.
+        except inside or at the end of white space.  Texts with such spaces or with special
+        tokens are cut as a whole, of others only what precedes the first space.
         """
-        stretches = [self.cut.split(t) if self.cut else [t] for t in texts]
-        # special tokens stand at the odd places of a split
-        pieces = [
-            [None if k % 2 else [s] if _INNER_SPACE.search(s) else s.split(" ") for k, s in enumerate(some)]
-            for some in stretches
-        ]
-        found = [[p and list(map(self.spaced.get, p[1:])) for p in some] for some in pieces]
-        plain = [(p, f) for ps, fs in zip(pieces, found) for p, f in zip(ps, fs) if p]
-        first: dict[str, bytes] = {}
-        self._learn({p[0] for p, _ in plain}, first, "")
-        gaps = [(p, f) for p, f in plain if None in f]
-        self._learn({w for p, f in gaps for w, ids in zip(p[1:], f) if ids is None}, self.spaced, " ")
-        for p, f in gaps:
-            f[:] = [self.spaced[w] if ids is None else ids for w, ids in zip(p[1:], f)]
-        return [
-            b"".join(
-                [
-                    self.special_ids[s] if p is None else first[p[0]] + b"".join(f)
-                    for s, p, f in zip(*of_text)
-                ]
-            )
-            for of_text in zip(stretches, pieces, found)
-        ]
-
-    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """As ``encode_many``, over portions of bounded size."""
-        portion, size = [], 0
+        heads, rests = [], []
         for text in texts:
-            portion.append(text)
-            size += len(text)
-            if size >= _CHARS_AT_ONCE:
-                yield from self.encode_many(portion)
-                portion, size = [], 0
-        yield from self.encode_many(portion)
-
-    # -------------------------------------------------------------- decoding
-
-    def decode(self, ids: list[int | None]) -> str:
-        spelt = self.bytes_of
-        return b"".join([spelt.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+            whole = _INNER_SPACE.search(text) or (self.cut and self.cut.search(text))
+            head, space, rest = (text, "", "") if whole else text.partition(" ")
+            heads.append(self._words(head))
+            rests.append(rest if space else None)
+        head_ids = self._encode_cut(heads)
+        split = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        coded = split.flatten().dictionary_encode()
+        piece_ids = self._encode_pieces(coded.dictionary)
+        table = Ragged(
+            np.concatenate([piece_ids.flat, head_ids.flat]),
+            np.concatenate([piece_ids.first, head_ids.first + len(piece_ids.flat)]),
+            np.concatenate([piece_ids.count, head_ids.count]),
+        )
+        # the runs of all texts: a head, then its pieces
+        places = np.arange(len(texts)) + np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        runs = np.empty(len(texts) + len(coded), dtype=np.int64)
+        is_piece = np.ones(len(runs), dtype=bool)
+        is_piece[places] = False
+        runs[places] = len(coded.dictionary) + np.arange(len(texts))
+        runs[is_piece] = coded.indices.to_numpy()
+        counts = table.count[runs]
+        run_ends = np.cumsum(counts)
+        ids = np.empty(int(run_ends[-1]), dtype=np.int32)
+        for at in range(0, len(runs), _RUNS_AT_ONCE):
+            part = slice(at, at + _RUNS_AT_ONCE)
+            n, begin = counts[part], int(run_ends[at] - counts[at])
+            within = np.arange(n.sum()) - np.repeat(run_ends[part] - n - begin, n)
+            ids[begin : begin + len(within)] = table.flat[np.repeat(table.first[runs[part]], n) + within]
+        return ids, run_ends[np.append(places[1:], len(runs)) - 1]
+
+
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, NULL as empty, in lists of about ``_CHARS_AT_ONCE`` characters."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= _CHARS_AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -250,10 +312,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         vocabulary = Vocabulary(content.value)
 
         def ids(texts: pa.Array) -> pa.Array:
-            packed = list(vocabulary.encode(t.as_py() or "" for t in texts))
-            ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-            values = np.frombuffer(b"".join(packed), dtype="<i4")
-            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+            made = []
+            for some in portions(texts):
+                flat, ends = vocabulary.encode(some)
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
         return ids
 
@@ -265,10 +329,10 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     content = read_vocabulary(docs.sparkSession, path)
 
     def make():
-        vocabulary = Vocabulary(content.value)
+        spelling = Spelling(content.value)
 
         def texts(ids: pa.Array) -> pa.Array:
-            return pa.array([vocabulary.decode(i.as_py() or []) for i in ids], type=pa.string())
+            return pa.array([spelling.decode(i.as_py() or []) for i in ids], type=pa.string())
 
         return texts
 
