@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scribelake.session import scratch_path
+from scribelake.session import materialise
 
 SALTS = 32
 
@@ -79,17 +79,14 @@ def label_copies(
             "keep_id",
             "group_size",
             F.when(F.col("contents") > 1, F.col("content")).alias("content"),
-            F.when(F.col("contents") > 1, 1).otherwise(0).alias("shared"),
         )
     )
-    spark = docs.sparkSession
-    path = scratch_path(spark, "contents")
-    groups.write.partitionBy("shared").parquet(path)
-    stored = spark.read.schema(groups.schema).parquet(path)
-    shared = stored.where("shared = 1").select(
+    stored = materialise(groups, "groups")
+    # a table of its own, as a rule an empty one, so that Spark knows its size
+    shared = materialise(stored.where("content IS NOT NULL"), "shared").select(
         "digest", "content", F.struct("keep_id", "group_size").alias("by_text")
     )
-    single = stored.where("shared = 0").select(
+    single = stored.where("content IS NULL").select(
         "digest", F.struct("keep_id", "group_size").alias("by_digest")
     )
     found = (
