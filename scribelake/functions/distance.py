@@ -259,15 +259,11 @@ def _banded(a: Column, b: Column) -> Column:
     """Exact ``levenshtein`` that first tries narrow bands.
 
     With a limit the built-in visits only the cells near the diagonal and answers -1
-    beyond it; ``get`` turns that into NULL and ``coalesce`` moves on.
+    beyond it, which reads as NULL here, so that ``coalesce`` moves on.
     """
-    longest = F.lit(4095)
 
     def within(limit: Column) -> Column:
-        return F.get(
-            F.sequence(F.lit(0), longest),
-            F.call_function("levenshtein", a, b, F.least(limit, longest).cast("int")),
-        )
+        return F.nullif(F.call_function("levenshtein", a, b, limit.cast("int")), F.lit(-1))
 
     size = F.char_length(a)
     return F.coalesce(within(size / 8 + 4), within(size / 3 + 8), F.levenshtein(a, b))

@@ -34,14 +34,18 @@ class MissingColumnError(ValueError):
 
 
 def find_role(columns: Iterable[str], role: str) -> str | None:
-    """Best column for ``role``; an exact name beats one that differs in case only."""
-    columns = [str(c) for c in columns]
-    folded = {c.lower(): c for c in columns}
-    for name in ROLE_NAMES[role]:
-        match = name if name in columns else folded.get(name.lower())
-        if match is not None:
-            return match
-    return None
+    """Best column for ``role``: the earliest accepted name, then the exact spelling.
+
+    Of columns that fit equally well, differing in case only, the first one is taken.
+    """
+    rank = {name.lower(): place for place, name in reversed(list(enumerate(ROLE_NAMES[role])))}
+    exact = set(ROLE_NAMES[role])
+    fitting = [
+        (rank[c.lower()], c not in exact, at, c)
+        for at, c in enumerate(map(str, columns))
+        if c.lower() in rank
+    ]
+    return min(fitting)[-1] if fitting else None
 
 
 def need_role(columns: Iterable[str], role: str) -> str:
@@ -110,22 +114,24 @@ def languages_or_default(languages: Iterable[str] | None) -> list[str]:
     return [code for code in cleaned if code] or list(DEFAULT_LANGUAGES)
 
 
-def bytes_present(df: DataFrame, audio: str) -> Column:
-    """Whether an audio struct carries its bytes, without reading them if avoidable.
+def bytes_present(df: DataFrame, audio: str, *, read_bytes: bool = False) -> Column:
+    """Whether an audio struct carries its bytes, by the flag stored at ingest.
 
-    A ``bytes_present`` flag stored at ingest is used when there is one; testing the
-    ``bytes`` field itself makes the scan read that (very large) column.
+    A struct with bytes but without flag is refused, since testing the ``bytes`` field
+    makes the scan read that (very large) column; ``read_bytes`` allows it.
     """
     field = df.schema[audio].dataType
     names = getattr(field, "names", None)
     if names and "bytes_present" in names:
         return F.coalesce(F.col(f"{audio}.bytes_present"), F.lit(False))
     if names and "bytes" in names:
+        if not read_bytes:
+            raise MissingColumnError(f"{audio} holds bytes but no bytes_present flag")
         return F.col(f"{audio}.bytes").isNotNull()
     return F.lit(False)
 
 
-def audio_pointer(df: DataFrame, audio: str) -> Column:
+def audio_pointer(df: DataFrame, audio: str, *, read_bytes: bool = False) -> Column:
     """``{path, bytes_present}`` for an audio struct, or for a plain path column."""
     names = getattr(df.schema[audio].dataType, "names", None)
     if names is None:
@@ -134,4 +140,4 @@ def audio_pointer(df: DataFrame, audio: str) -> Column:
         path = F.col(f"{audio}.path").cast("string")
     else:
         path = F.lit(None).cast("string")
-    return F.struct(path.alias("path"), bytes_present(df, audio).alias("bytes_present"))
+    return F.struct(path.alias("path"), bytes_present(df, audio, read_bytes=read_bytes).alias("bytes_present"))

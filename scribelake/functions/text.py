@@ -1,11 +1,12 @@
-"""Text expressions.  All of them are column expressions evaluated in the JVM."""
+"""Text expressions.  All but the Unicode forms are evaluated in the JVM."""
 
 from __future__ import annotations
 
 import string
 import unicodedata
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,23 +31,42 @@ def is_ascii(text: Column | str) -> Column:
     return F.octet_length(_col(text)) == F.char_length(_col(text))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_batch(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _of_batch(texts: pa.Array, form: str) -> pa.Array:
+    """The form of each text; NULLs, and texts already in it, come back as they are.
 
+    All texts of the batch that are not in the form yet are normalised in one call.
+    """
+    rows = texts.to_pylist()
+    todo = [k for k, t in enumerate(rows) if t is not None and not unicodedata.is_normalized(form, t)]
+    if not todo:
+        return texts
+    # a line feed takes no part in any composition
+    spans = [rows[k].count("\n") + 1 for k in todo]
+    lines = iter(unicodedata.normalize(form, "\n".join(rows[k] for k in todo)).split("\n"))
+    for k, n in zip(todo, spans):
+        rows[k] = "\n".join(islice(lines, n))
+    return pa.array(rows, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc_batch(text: pa.Array) -> pa.Array:
+    return _of_batch(text, "NFKC")
 
-@F.pandas_udf(T.StringType())
-def _nfd_batch(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
+@F.arrow_udf(T.StringType())
+def _nfd_batch(text: pa.Array) -> pa.Array:
+    return _of_batch(text, "NFD")
 
-def unicode_form(text: Column | str, form: str, engine: str = "jvm") -> Column:
+
+def unicode_form(text: Column | str, form: str, engine: str = "arrow") -> Column:
     """NFKC or NFD of a non-null string.
 
-    Spark has no such function, but ships the Unicode library its collations use;
-    ``engine="jvm"`` calls it, so rows never leave the JVM.  Sessions that forbid
-    ``java_method`` can pass ``engine="arrow"``: a vectorised Python function that
-    gets NULL for ASCII rows, which both engines return untouched.
+    Spark has no such function.  ``engine="arrow"`` is a vectorised Python function that
+    gets NULL for ASCII rows, which need no change; to the optimiser it is like any other
+    function, so filters on other columns still reach the scan.  ``engine="jvm"`` calls
+    the Unicode library Spark ships for its collations: rows stay in the JVM, but Spark
+    takes such calls for non-deterministic, so filters stop at them, and they cannot
+    stand in aggregates, joins or windows.
     """
     text = _col(text)
     if engine == "arrow":
@@ -65,19 +85,15 @@ def squeeze(text: Column, to_space: str) -> Column:
     return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
-def normalise(text: Column | str, *, strip_accents: bool = False, engine: str = "jvm") -> Column:
-    """NULL to '', NFKC, lower case, punctuation to space, single spaces, trimmed.
-
-    Project the result into a column of its own before aggregating: Spark treats
-    the Unicode step as non-deterministic and refuses it inside an aggregate.
-    """
+def normalise(text: Column | str, *, strip_accents: bool = False, engine: str = "arrow") -> Column:
+    """NULL to '', NFKC, lower case, punctuation to space, single spaces, trimmed."""
     folded = F.lower(unicode_form(F.coalesce(_col(text).cast("string"), F.lit("")), "NFKC", engine))
     if strip_accents:
         folded = F.regexp_replace(unicode_form(folded, "NFD", engine), r"\p{Mn}+", "")
     return squeeze(folded, _TO_SPACE)
 
 
-def clean_prediction(text: Column | str, engine: str = "jvm") -> Column:
+def clean_prediction(text: Column | str, engine: str = "arrow") -> Column:
     """Clean-up of recogniser output before it is stored; accents are kept."""
     return normalise(text, strip_accents=False, engine=engine)
 
@@ -165,11 +181,18 @@ def slug(value: Column | str) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("experiment")).otherwise(trimmed)
 
 
+def _in_utc(moment: Column | str) -> Column:
+    """The wall clock of a timestamp in UTC, whatever the session time zone."""
+    return F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), _col(moment).cast("timestamp").cast("timestamp_ntz")
+    )
+
+
 def run_id(name: Column | str, started: Column | str) -> Column:
-    """``yyyymmdd_hhmmss_slug`` in the session time zone, which should be UTC."""
-    return F.concat_ws("_", F.date_format(_col(started), "yyyyMMdd_HHmmss"), slug(name))
+    """``yyyymmdd_hhmmss_slug`` in UTC."""
+    return F.concat_ws("_", F.date_format(_in_utc(started), "yyyyMMdd_HHmmss"), slug(name))
 
 
 def utc_text(moment: Column | str) -> Column:
-    """ISO seconds with a trailing ``Z``; the session time zone should be UTC."""
-    return F.date_format(_col(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO seconds in UTC with a trailing ``Z``."""
+    return F.date_format(_in_utc(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")

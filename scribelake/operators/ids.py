@@ -7,29 +7,31 @@ shuffle and one id holding a third of all rows costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class IncompleteError(ValueError):
     """Ids that must be present are missing, repeated or null."""
 
 
-def counts_by_id(tables: Mapping[str, DataFrame], key: str = "id") -> DataFrame:
-    """``key`` and, per table, how many of its rows carry that key."""
+def counts_by_id(tables: Mapping[str, DataFrame], key: str | Sequence[str] = "id") -> DataFrame:
+    """The key, of one or more columns, and per table how many of its rows carry it."""
+    keys = [key] if isinstance(key, str) else list(key)
     stacked = [
         df.select(
-            F.col(key).cast("string").alias(key),
+            *[F.col(k).cast("string").alias(k) for k in keys],
             *[F.lit(1 if other == name else 0).cast("long").alias(other) for other in tables],
         )
         for name, df in tables.items()
     ]
     return (
         reduce(DataFrame.union, stacked)
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(*[F.sum(name).alias(name) for name in tables])
     )
 
@@ -63,8 +65,10 @@ def pairing_audit(reference: DataFrame, other: DataFrame, key: str = "id") -> Da
 
 
 def missing_ids(wanted: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
-    """Distinct wanted ids that were not found."""
-    return wanted.select(key).distinct().join(found.select(key), key, "left_anti")
+    """Distinct wanted ids that were not found, NULL never being found."""
+    counted = counts_by_id({"wanted": wanted.select(key), "found": found.select(key)}, key)
+    absent = (F.col("wanted") > 0) & ((F.col("found") == 0) | F.col(key).isNull())
+    return counted.where(absent).select(key)
 
 
 def first_sorted(df: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -73,16 +77,22 @@ def first_sorted(df: DataFrame, k: int, key: str = "id") -> DataFrame:
 
 
 def missing_summary(wanted: DataFrame, found: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
-    """One row: number of missing ids and the first ``k`` of them in order."""
+    """One row: number of missing ids and the first ``k`` of them in order.
+
+    The ids are compared once, and each of the 1024 parts they are dealt in keeps its
+    ``k`` smallest, so the final list is built from few rows.
+    """
     absent = missing_ids(wanted, found, key)
-    # every task keeps its k smallest ids, so the final list is built from few rows
-    examples = (
-        first_sorted(absent, k, key)
-        .agg(F.array_sort(F.collect_list(key)).alias("examples"))
-        .withColumn("part", F.lit(1))
+    dealt = absent.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(1024)))
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("deal").orderBy(key)))
+    kept = ranked.groupBy("deal").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_list(F.when(F.col("r") <= k, F.col(key))).alias("few"),
+    )
+    return kept.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("missing"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k).alias("examples"),
     )
-    total = absent.agg(F.count(F.lit(1)).alias("missing")).withColumn("part", F.lit(1))
-    return total.join(examples, "part").select("missing", "examples")
 
 
 def need_all(wanted: DataFrame, found: DataFrame, what: str, k: int = 5, key: str = "id") -> None:
@@ -91,9 +101,41 @@ def need_all(wanted: DataFrame, found: DataFrame, what: str, k: int = 5, key: st
         raise IncompleteError(f"{row['missing']} ids have no {what}, first {row['examples']}")
 
 
+def need_each_once(
+    wanted: DataFrame, found: DataFrame, what: str, k: int = 5, key: str | Sequence[str] = "id"
+) -> None:
+    """Raise unless every wanted key is known and found exactly once, the wanted ones too.
+
+    One shuffle of keys, in which a repeated key costs one row per task.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    counted = counts_by_id({"wanted": wanted.select(*keys), "found": found.select(*keys)}, keys)
+    asked = counted.where(F.col("wanted") > 0)
+    unknown = reduce(Column.__or__, [F.col(c).isNull() for c in keys])
+    name = F.concat_ws(" ", *keys)
+    problems = {
+        "unknown": unknown,
+        f"without a {what}": ~unknown & (F.col("found") == 0),
+        f"with several of a {what}": ~unknown & (F.col("found") > 1),
+        "asked for repeatedly": ~unknown & (F.col("wanted") > 1),
+    }
+    row = asked.agg(
+        *[F.count_if(p).alias(f"n{i}") for i, p in enumerate(problems.values())],
+        *[F.min(F.when(p, name)).alias(f"e{i}") for i, p in enumerate(problems.values())],
+    ).first()
+    found_problems = [
+        f"{row[f'n{i}']} ids {problem}, first {row[f'e{i}']!r}"
+        for i, problem in enumerate(problems)
+        if row[f"n{i}"]
+    ]
+    if found_problems:
+        raise IncompleteError("; ".join(found_problems))
+
+
 def overlap(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """Distinct ids present on both sides."""
-    return left.select(key).intersect(right.select(key))
+    """Distinct ids present on both sides, NULL included."""
+    counted = counts_by_id({"a": left.select(key), "b": right.select(key)}, key)
+    return counted.where((F.col("a") > 0) & (F.col("b") > 0)).select(key)
 
 
 def difference(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
@@ -115,13 +157,17 @@ def text_digest(text: Column | str) -> Column:
 
 
 def repeat_count(
-    df: DataFrame, column: str, name: str = "repeated", *, digest: bool = True
+    df: DataFrame, column: str | Sequence[str], name: str = "repeated", *, digest: bool = True
 ) -> DataFrame:
     """One row: rows beyond the first of each distinct value; NULL is a value too.
 
     Short values such as ids are better grouped as they are, without ``digest``.
     """
-    long_text = digest and dict(df.dtypes)[column] == "string"
-    key = text_digest(column) if long_text else F.col(column)
-    counted = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    columns = [column] if isinstance(column, str) else list(column)
+    types = dict(df.dtypes)
+    keys = [
+        (text_digest(c) if digest and types[c] == "string" else F.col(c)).alias(f"key{i}")
+        for i, c in enumerate(columns)
+    ]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias(name))

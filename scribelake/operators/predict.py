@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import text
 from scribelake.functions.roles import need_role
+from scribelake.operators.ids import IncompleteError, pairing_audit
 
 # A recogniser maps a batch of rows to one text per row.  The factory is called once
 # per task, so a model is loaded once and reused for every batch of the task.
@@ -29,7 +30,7 @@ def predict(
 
     Rows stream through the task in Arrow batches and nothing is gathered; a lost
     executor costs its tasks, not the run.  ``uniform`` names a column that must hold
-    one value within each recogniser batch.
+    one value within each recogniser batch.  A row without id is refused.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,6 +45,8 @@ def predict(
                 if len(output) != len(batch):
                     raise ValueError(f"{len(output)} texts for a batch of {len(batch)} rows")
                 texts.extend(output)
+            if frame[key].isna().any():
+                raise ValueError(f"a row to predict has no {key}")
             yield pd.DataFrame({"id": frame[key].astype(str).to_numpy(), "prediction": texts})
 
     return rows.mapInPandas(run, "id string, prediction string")
@@ -55,31 +58,41 @@ def cleaned(predictions: DataFrame) -> DataFrame:
 
 
 def fill_template(
-    template: DataFrame, predictions: DataFrame, *, position: str | None = None
+    template: DataFrame,
+    predictions: DataFrame,
+    *,
+    position: str | Sequence[str] | None = None,
+    checked: bool = True,
 ) -> DataFrame:
     """The template with its first non-id column replaced by the predictions.
 
     Ids without a prediction get ''; predictions of unknown ids are ignored; column
-    order is kept.  ``position`` names a column to sort by (and drop), for a template
-    whose row order matters.  Should an id have several predictions, the largest text
-    is used; combining them first keeps a repeated id from multiplying rows, and the
-    join reuses that shuffle.
+    order is kept.  ``position`` names the columns to sort by (and drop), for a template
+    whose row order matters; ``read_table(..., numbered=True)`` supplies them.  An id of
+    the template with several predictions is refused; ``checked=False`` is for
+    predictions already known to be unique.
     """
     id_column = need_role(template.columns, "id")
-    targets = [c for c in template.columns if c not in (id_column, position)]
+    places = [position] if isinstance(position, str) else list(position or ())
+    targets = [c for c in template.columns if c != id_column and c not in places]
     if not targets:
         raise ValueError("the template has no column to fill")
-    answers = predictions.groupBy(F.col("id").alias("_id")).agg(
-        F.max("prediction").alias("_prediction")
+    if checked:
+        asked = template.select(F.col(id_column).alias("id"))
+        again = pairing_audit(asked, predictions.select("id")).first()["repeated_other"]
+        if again:
+            raise IncompleteError(f"{again} predictions repeat an id of the template")
+    answers = predictions.select(
+        F.col("id").cast("string").alias("_id"), F.col("prediction").alias("_prediction")
     )
     joined = template.join(answers, F.col(id_column).cast("string") == F.col("_id"), "left")
-    if position is not None:
-        joined = joined.orderBy(position)
+    if places:
+        joined = joined.orderBy(*places)
     return joined.select(
         *[
             F.coalesce("_prediction", F.lit("")).alias(c) if c == targets[0] else F.col(c)
             for c in template.columns
-            if c != position
+            if c not in places
         ]
     )
 

@@ -217,20 +217,22 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def distinct_count(df: DataFrame, column: str, *, relative_error: float | None = None) -> DataFrame:
-    """Distinct non-null values; approximate only when an error bound is given."""
-    counted = (
-        F.count_distinct(column)
-        if relative_error is None
-        else F.approx_count_distinct(column, relative_error)
-    )
-    return df.agg(counted.alias("distinct_values"))
+    """Distinct non-null values; approximate only when an error bound is given.
+
+    Texts are told apart by their digests, so that long ones are not shuffled.
+    """
+    if relative_error is not None:
+        return df.agg(F.approx_count_distinct(column, relative_error).alias("distinct_values"))
+    value = text_digest(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+    return df.agg(F.count_distinct(value).alias("distinct_values"))
 
 
 def table_profile(df: DataFrame, path: str = "") -> DataFrame:
-    """``path, column, roles, rows, nulls, distinct_ids``: one row per column.
+    """``path, column, roles, value, rows, nulls, distinct_ids``: one row per column.
 
     ``distinct_ids`` is filled for the id column; ``roles`` lists what the column
-    would serve as.
+    would serve as.  A row of role ``language value`` follows for each value of the
+    language column, NULL included, with its number of rows.
     """
     names = df.columns
     chosen = {role: find_role(names, role) for role in ("id", "text", "language", "audio")}
@@ -249,13 +251,28 @@ def table_profile(df: DataFrame, path: str = "") -> DataFrame:
             F.lit(path).alias("path"),
             F.lit(name).alias("column"),
             F.lit(",".join(r for r, c in chosen.items() if c == name)).alias("roles"),
+            F.lit(None).cast("string").alias("value"),
             F.col("rows").alias("rows"),
             F.col(f"n{i}").alias("nulls"),
             (F.col("unique") if name == key else F.lit(None)).cast("long").alias("distinct_ids"),
         )
         for i, name in enumerate(names)
     ]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    columns = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    per_language = language_profile(df)
+    if per_language is None:
+        return columns
+    return columns.unionByName(
+        per_language.select(
+            F.lit(path).alias("path"),
+            F.lit(chosen["language"]).alias("column"),
+            F.lit("language value").alias("roles"),
+            F.col("language").cast("string").alias("value"),
+            "rows",
+            F.lit(None).cast("long").alias("nulls"),
+            F.lit(None).cast("long").alias("distinct_ids"),
+        )
+    )
 
 
 def language_profile(df: DataFrame) -> DataFrame | None:
@@ -278,6 +295,23 @@ def submission_inputs(test: DataFrame, template: DataFrame) -> DataFrame:
     )
 
 
+def submission_report(test: DataFrame, template: DataFrame) -> DataFrame:
+    """``measure, key, value``: :func:`submission_inputs` and the id prefixes of both tables."""
+    sizes = submission_inputs(test, template)
+    entries = [
+        F.struct(F.lit(c).alias("measure"), F.lit("").alias("key"), F.col(c).cast("long").alias("value"))
+        for c in sizes.columns
+    ]
+    parts = [sizes.select(F.explode(F.array(*entries)).alias("e")).select("e.*")]
+    for name, ids in (("test_id_prefix", test), ("sample_id_prefix", template)):
+        parts.append(
+            prefix_counts(ids).select(
+                F.lit(name).alias("measure"), F.col("id_prefix").alias("key"), F.col("rows").alias("value")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def prefix_counts(ids: DataFrame, *, whole_without_underscore: bool = False) -> DataFrame:
     """Rows per id prefix; the two forms differ for ids without an underscore."""
     form = text.id_group if whole_without_underscore else text.id_prefix

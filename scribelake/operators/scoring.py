@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import distance, text
 from scribelake.functions.roles import canonical
-from scribelake.operators.ids import IncompleteError, pairing_audit
+from scribelake.operators.ids import IncompleteError, counts_by_id, pairing_audit, repeated
 from scribelake.operators.selection import top_per_group
 
 EDIT_COLUMNS = ("char_edits", "char_total", "word_edits", "word_total")
@@ -54,9 +54,15 @@ def with_edits(pairs: DataFrame, *, normalised: bool = True, engine: str = "arro
     """Add edit counts and reference lengths, by character and by word.
 
     Each text is normalised once, into a column, and both distances of a row share
-    one trip to the Python worker.
+    one trip to the Python worker.  ``engine="builtin"`` stays in the JVM throughout.
     """
-    clean = text.normalise if normalised else (lambda c: F.coalesce(F.col(c), F.lit("")))
+    forms = "jvm" if engine == "builtin" else engine
+
+    def clean(name: str) -> Column:
+        if not normalised:
+            return F.coalesce(F.col(name), F.lit(""))
+        return text.normalise(name, engine=forms)
+
     prepared = pairs.withColumns({"_r": clean("reference_text"), "_p": clean("prediction_text")})
     if normalised:
         ref_words, hyp_words = F.col("_r"), F.col("_p")
@@ -169,13 +175,29 @@ def worst_rows(scored: DataFrame, n: int = 100, by: str | None = None) -> DataFr
 
 
 def disagreements(first: DataFrame, second: DataFrame, *, engine: str = "arrow") -> DataFrame:
-    """Ids on which two prediction tables differ, with how far apart they are."""
-    joined = pair(
-        canonical(first, text="text"), canonical(second, text="text"), checked=True
-    )
-    scored = with_edits(joined, engine=engine).where(F.col("char_edits") > 0)
+    """Ids on which two prediction tables differ, with how far apart they are.
+
+    An id that only one table has counts as the empty text in the other; ``in_both`` tells
+    it apart from an empty prediction, and it is reported whatever its text.  Repeated or
+    unknown ids are refused on either side.
+    """
+    left = canonical(first, text="reference_text")
+    right = canonical(second, text="prediction_text")
+    audit = pairing_audit(left, right).first()
+    repeats = counts_by_id({"a": left, "b": right}).agg(repeated("b").alias("n")).first()["n"]
+    bad = ("repeated_reference", "null_reference", "null_other")
+    problems = {name: audit[name] for name in bad if audit[name]}
+    if repeats:
+        problems["repeated_other"] = repeats
+    if problems:
+        raise IncompleteError(f"ids do not tell predictions apart: {problems}")
+    joined = left.withColumn("a", F.lit(True)).join(right.withColumn("b", F.lit(True)), "id", "full")
+    in_both = (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("in_both")
+    told = joined.select("id", "reference_text", "prediction_text", in_both)
+    scored = with_edits(told, engine=engine).where((F.col("char_edits") > 0) | ~F.col("in_both"))
     return with_row_rates(scored).select(
         "id",
+        "in_both",
         F.col("reference_text").alias("first_text"),
         F.col("prediction_text").alias("second_text"),
         "word_edits",

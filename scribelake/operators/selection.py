@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribelake.operators.ids import IncompleteError, repeat_count
+from scribelake.session import materialise
 
-# Spark trims row_number() <= n inside each task up to this n
-# (spark.sql.optimizer.windowGroupLimitThreshold); above it we spread the work.
-_TRIMMED_IN_TASK = 1000
-# Largest n that one ordered take may bring together in a single task.
-_TAKE_LIMIT = 100_000
+# Parts that a group is cut in before its first rows are put together.
+_PARTS = 1024
+# Leading hash digits by which a sample's end is located, in two rounds.
 _HASH_DIGITS = 4
 
 
 def only_ids(df: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose id is wanted."""
-    return df.join(wanted.select(key), key, "left_semi")
+    """Rows whose id is wanted; an id wanted often is looked for once."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def relabel(
@@ -29,21 +28,24 @@ def relabel(
     text: str = "text",
     label: str = "label",
     order: str | None = None,
-    key: str = "id",
+    key: str | Sequence[str] = "id",
+    checked: bool = True,
 ) -> DataFrame:
     """Replace ``text`` by the label of the same id; rows without a label are dropped.
 
     Repeated label ids are refused, unless ``order`` names the column by which the
     last one wins; that choice is an aggregate, so a hot id is combined in each task.
+    A key may have several columns; rows in which one of them is NULL match nothing.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if order is not None:
-        labels = labels.groupBy(key).agg(F.max_by(label, order).alias(label))
-    else:
-        again = repeat_count(labels, key, digest=False).first()["repeated"]
+        labels = labels.groupBy(*keys).agg(F.max_by(label, order).alias(label))
+    elif checked:
+        again = repeat_count(labels, keys, digest=False).first()["repeated"]
         if again:
             raise IncompleteError(f"{again} label rows repeat an id")
     columns = rows.columns
-    joined = rows.drop(text).join(labels.select(key, F.col(label).alias(text)), key)
+    joined = rows.drop(text).join(labels.select(*keys, F.col(label).alias(text)), keys)
     return joined.select(*columns)
 
 
@@ -75,29 +77,51 @@ def _shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def _end_of(sizes: DataFrame, rest: Column) -> DataFrame:
+    """The one row of ``sizes`` (prefix, n, ...) in which the first ``rest`` rows end.
+
+    There are at most ``16 ** _HASH_DIGITS`` sizes, however large the table.
+    """
+    so_far = Window.partitionBy("part").orderBy("prefix").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ends = sizes.withColumn("part", F.lit(1)).withColumn("end", F.sum("n").over(so_far))
+    before = F.col("end") - F.col("n")
+    return ends.where((F.col("end") >= rest) & (before < rest)).select(
+        "prefix", (rest - before).alias("rest"), "part"
+    )
+
+
 def sample_n(df: DataFrame, n: int, *, seed: int = 13, key: str = "id") -> DataFrame:
     """A repeatable random sample of ``n`` rows, whatever the partitioning.
 
-    Rows are ordered by a seeded hash of their id and the first ``n`` are taken.  For
-    a large ``n`` the cut is located from a count per leading hash digits (a table of
-    fixed size), so only the rows of one such bucket are ever ordered.
+    The sample is the first ``n`` rows by a seeded hash of their id.  Where it ends is
+    located by counting rows per four leading hash digits, then, inside the digits in
+    which it ends, per the next four; only the rows of those eight digits are ordered.
     """
-    tagged = df.withColumn("_h", _shuffled(key, seed))
-    if n <= _TAKE_LIMIT:
-        return tagged.orderBy("_h", key).limit(n).drop("_h")
-    bucket = F.substring("_h", 1, _HASH_DIGITS)
-    sizes = tagged.groupBy(bucket.alias("b")).count().orderBy("b").collect()
-    taken, cut = 0, None
-    for row in sizes:
-        if taken + row["count"] > n:
-            cut = row["b"]
-            break
-        taken += row["count"]
-    if cut is None:
-        return tagged.drop("_h")
-    whole = tagged.where(bucket < cut)
-    rest = tagged.where(bucket == cut).orderBy("_h", key).limit(n - taken)
-    return whole.unionByName(rest).drop("_h")
+    if n <= 0:
+        return df.limit(0)
+    tagged = df.withColumn("_h", _shuffled(key, seed)).withColumn("_part", F.lit(1))
+    sizes = tagged.groupBy(F.substring("_h", 1, _HASH_DIGITS).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    first = materialise(_end_of(sizes, F.lit(n)), "sample-end")
+    inside = tagged.join(first, F.col("_part") == F.col("part")).where(
+        F.substring("_h", 1, _HASH_DIGITS) == F.col("prefix")
+    )
+    sizes = inside.groupBy(F.substring("_h", 1, 2 * _HASH_DIGITS).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("rest").alias("wanted")
+    )
+    end = materialise(_end_of(sizes, F.col("wanted")), "sample-end")
+    placed = tagged.join(end, F.col("_part") == F.col("part"), "left")
+    digits = F.substring("_h", 1, 2 * _HASH_DIGITS)
+    # without an end the table has fewer rows than were asked for
+    whole = placed.where(F.col("prefix").isNull() | (digits < F.col("prefix")))
+    order = Window.partitionBy("prefix").orderBy("_h", key)
+    last = placed.where(digits == F.col("prefix")).withColumn("_r", F.row_number().over(order))
+    return whole.select(*df.columns).unionByName(
+        last.where(F.col("_r") <= F.col("rest")).select(*df.columns)
+    )
 
 
 def top_per_group(
@@ -105,27 +129,15 @@ def top_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group under ``order``, with their ``rank``.
 
-    Small ``n``: Spark trims each task's rows before the shuffle.  Larger ``n``: the
-    group is first cut within hash parts of ``spread``, so no task has to sort a whole
-    large group.
+    Each group is first cut within 1024 parts, by a hash of ``spread``, so the task that
+    puts a group together gets at most 1024 times ``n`` rows of it.
     """
-    if n > _TRIMMED_IN_TASK:
-        parts = Window.partitionBy(*group, F.pmod(F.xxhash64(spread), F.lit(1024))).orderBy(*order)
-        df = df.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= n).drop("_r")
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    parts = Window.partitionBy(*group, F.pmod(F.xxhash64(spread), F.lit(_PARTS))).orderBy(*order)
+    cut = df.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= n).drop("_r")
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("rank") <= n)
 
 
-def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """A derived table of proven small size as a local one, which Spark then broadcasts.
-
-    Reads at most one row beyond the bound; a larger table is returned as it is and
-    joins by shuffle, where adaptive execution splits hot keys.
-    """
-    head = df.limit(rows + 1).collect()
-    return df.sparkSession.createDataFrame(head, df.schema) if len(head) <= rows else df
-
-
 def balance_factors(df: DataFrame, group: str = "language") -> DataFrame:
     """Per group: its rows, and how many copies of it match the largest group."""
     counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
@@ -147,11 +159,11 @@ def oversample(
     """Repeat the rows of smaller groups up to about the size of the largest.
 
     Each row appears ``floor(copies)`` times, plus once more when its seeded hash
-    falls below the remaining fraction; ``copy`` numbers the repeats.  The factors
-    are one row per group; once their number is checked they are broadcast, so the
-    table itself is not shuffled by its few, uneven groups.
+    falls below the remaining fraction; ``copy`` numbers the repeats.  The factors,
+    one row per group, are written and read back: Spark then knows their size and, as
+    it is small, broadcasts them, so the table is not shuffled by its few, uneven groups.
     """
-    factors = bounded(balance_factors(df, group).select(group, "copies"))
+    factors = materialise(balance_factors(df, group).select(group, "copies"), "factors")
     position = F.conv(F.substring(_shuffled(key, seed), 1, 8), 16, 10).cast("double") / F.lit(
         float(16**8)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import text
 from scribelake.operators.selection import top_per_group
-from scribelake.session import materialise, spread
+from scribelake.session import materialise
 
 
 def exploded_tokens(corpus: DataFrame, *keys: str, column: str = "transcription") -> DataFrame:
@@ -104,20 +104,25 @@ def top_from_counts(counts: DataFrame, n: int = 50, language: str = "language")
     return top_per_group(counts, [language], [F.desc("count"), F.asc("token")], n, spread="token")
 
 
-def _deletions(token: str = "token"):
-    """The token and every form of it with one character left out."""
-    t = F.col(token)
+def _form_hashes(language: str, token: str = "token"):
+    """Hashes of the token and of every form of it with one character left out.
+
+    Only the hashes are kept, eight bytes for each form however long the token is.  The
+    empty form of a single letter is left out: it would pair all letters of a language.
+    """
+    t, n = F.col(token), F.char_length(token)
     cut = F.transform(
-        F.sequence(F.lit(1), F.char_length(t)),
-        lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))),
+        F.sequence(F.lit(1), n),
+        lambda i: F.xxhash64(language, F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n))),
     )
-    return F.array_distinct(F.concat(F.array(t), cut))
+    whole = F.array(F.xxhash64(language, t))
+    return F.array_distinct(F.when(n > 1, F.concat(whole, cut)).otherwise(whole))
 
 
 def spelling_variants(counts: DataFrame, language: str = "language") -> DataFrame:
     """Pairs (unseen token, known token) one edit apart, within a language.
 
-    Two words are at most one edit apart only if they share a form with at most one
+    Single letters are no variants of each other.  Other words are at most one edit apart only if they share a form with at most one
     character removed.  Joining on such forms finds every pair without comparing all
     words of a block: a form matches only words that extend it by one character.  The
     join is on a hash of language and form; what a collision adds, the distance removes.
@@ -126,10 +131,10 @@ def spelling_variants(counts: DataFrame, language: str = "language") -> DataFram
     otherwise the corpus would be tokenised once for each.  The join is a sort-merge
     join, because the number of forms is not visible in the size of the counts.
     """
-    counts = spread(materialise(counts, "vocabulary"))
+    counts = materialise(counts, "vocabulary")
     forms = counts.select(
-        language, "token", "checked_count", "known_count", F.explode(_deletions()).alias("form")
-    ).withColumn("form", F.xxhash64(language, "form"))
+        language, "token", "checked_count", "known_count", F.explode(_form_hashes(language)).alias("form")
+    )
     new = forms.where((F.col("checked_count") > 0) & (F.col("known_count") == 0)).select(
         "form",
         language,

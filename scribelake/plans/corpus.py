@@ -110,9 +110,12 @@ def write_corpus_profile(tables: dict[str, DataFrame], path: str) -> None:
 
 def table_profiles(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
     """Profiles of several tables, one row per column; a missing table gives one row."""
-    missing = "path string, column string, roles string, rows long, nulls long, distinct_ids long"
+    missing = (
+        "path string, column string, roles string, value string, rows long, nulls long, "
+        "distinct_ids long"
+    )
     parts = [
-        spark.createDataFrame([(path, None, "missing", None, None, None)], missing)
+        spark.createDataFrame([(path, None, "missing", None, None, None, None)], missing)
         if df is None
         else profile.table_profile(df, path)
         for path, df in tables.items()

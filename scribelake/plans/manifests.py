@@ -15,11 +15,14 @@ def manifests(
     store: DataFrame,
     splits: Sequence[str] = ("train", "validation", "test"),
     languages: Sequence[str] | None = None,
+    *,
+    read_bytes: bool = False,
 ) -> DataFrame:
     """Manifest records of every language and split asked for, in one table."""
     parts = []
     for split in splits:
-        part = manifest(load_split(store, split, languages, keep_text=split != "test"), split)
+        rows = load_split(store, split, languages, keep_text=split != "test")
+        part = manifest(rows, split, read_bytes=read_bytes)
         parts.append(part if "text" in part.columns else part.withColumn("text", F.lit(None).cast("string")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -29,6 +32,8 @@ def write_manifests(
     path: str,
     splits: Sequence[str] = ("train", "validation", "test"),
     languages: Sequence[str] | None = None,
+    *,
+    read_bytes: bool = False,
 ) -> None:
     """JSON Lines by language and split; a NULL text is simply absent from its record."""
-    write_manifest(manifests(store, splits, languages), path)
+    write_manifest(manifests(store, splits, languages, read_bytes=read_bytes), path)

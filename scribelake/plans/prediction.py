@@ -12,11 +12,11 @@ from scribelake.functions import text
 from scribelake.functions.roles import canonical, find_role
 from scribelake.operators import predict as P
 from scribelake.operators import profile, selection
-from scribelake.operators.ids import need_all
+from scribelake.operators.ids import need_each_once
 from scribelake.session import materialise
 from scribelake.sources.ledger import append_ledger
 from scribelake.sources.splits import load_split
-from scribelake.sources.tables import write_table
+from scribelake.sources.tables import POSITION, write_table
 
 
 @dataclass(frozen=True)
@@ -44,15 +44,16 @@ def prediction_rows(
 ) -> DataFrame:
     """``id, language, audio`` of the rows to predict.
 
-    With a table of wanted ids: only those, all of which must exist; its language
-    column, if any, overrides the stored one.
+    With a table of wanted ids: only those, each of which must exist exactly once, or
+    the number of rows would differ from the number of ids; its language column, if any,
+    overrides the stored one.
     """
     rows = load_split(store, split, languages, keep_text=False)
     if wanted is None:
         return rows
     ids = canonical(wanted).distinct()
     if checked:
-        need_all(ids, rows, f"recording in {split}", k=10)
+        need_each_once(ids, rows, f"recording in {split}")
     chosen = selection.only_ids(rows, ids)
     if find_role(wanted.columns, "language"):
         chosen = selection.override_language(chosen, canonical(wanted, language="language"))
@@ -60,15 +61,15 @@ def prediction_rows(
 
 
 def dry_run(test: DataFrame | None, template: DataFrame | None) -> DataFrame | None:
-    """Input validation alone; ``None`` unless both tables are given."""
+    """``measure, key, value`` of the inputs alone; ``None`` unless both tables are given."""
     if test is None or template is None:
         return None
-    return profile.submission_inputs(canonical(test), canonical(template))
+    return profile.submission_report(canonical(test), canonical(template))
 
 
 def ledger_record(spark: SparkSession, run: Run, status: str) -> DataFrame:
     """One ledger row, stamped with the current time in UTC."""
-    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    now = F.current_timestamp()
     fields = {
         "stage": run.stage,
         "hypothesis": run.hypothesis,
@@ -116,27 +117,32 @@ def batch_prediction(
     languages: Sequence[str] | None = None,
     test: DataFrame | None = None,
     template: DataFrame | None = None,
-    position: str | None = None,
+    position: str | Sequence[str] | None = None,
     raw_output: str | None = None,
     ledger: str | None = None,
     batch_size: int = 4,
     max_rows: int | None = None,
+    uniform: str | None = None,
 ) -> DataFrame:
     """Predict, store, fill the template, append to the ledger; returns the predictions.
 
     The predictions are written before anything else uses them: the model runs once,
-    and no later failure loses its output.
+    and no later failure loses its output.  A template read with ``numbered=True`` keeps
+    its row order.
     """
     rows = prediction_rows(store, split, languages, wanted=test)
+    if position is None and template is not None and set(POSITION) <= set(template.columns):
+        position = POSITION
     predictions = materialise(
-        predict_split(rows, factory, batch_size=batch_size, max_rows=max_rows), "predictions"
+        predict_split(rows, factory, batch_size=batch_size, max_rows=max_rows, uniform=uniform),
+        "predictions",
     )
     if raw_output:
         write_table(P.raw_predictions(predictions), raw_output)
     submission = (
         P.bare_submission(predictions)
         if template is None
-        else P.fill_template(template, predictions, position=position)
+        else P.fill_template(template, predictions, position=position, checked=test is None)
     )
     write_table(submission, output)
     if ledger:

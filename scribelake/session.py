@@ -46,28 +46,29 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/scribelake-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch root; nothing is ever overwritten."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's scratch folder; nothing is ever overwritten."""
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored.  Frames that were read from it are void then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet to shared storage and reading it back.
 
-    Unlike an executor-local cache the table survives the loss of any executor.
+    Unlike an executor-local cache the table survives the loss of any executor.  It stays
+    until :func:`clear_scratch`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan that comes in fewer pieces than there are cores.
-
-    A file of few row groups would otherwise feed all per-row work to a few tasks.  A
-    table large enough to fill the cluster is returned as it is, without a shuffle.
-    Meant for plain scans, whose number of pieces is known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

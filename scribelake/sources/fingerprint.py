@@ -4,86 +4,55 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.sources.files import open_stream
 
-# Files up to this size are hashed by Spark itself, which holds one in memory; larger
-# ones are streamed, since a file's hash cannot be split anyway.
-_IN_MEMORY = 256 * 1024 * 1024
 _CHUNK = 1024 * 1024
 # Fixed value: hex digits kept.
 DIGITS = 16
 
 
-def _plain(path: str) -> str:
-    return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The whole path in its file system, and whether a file is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    named = hadoop.Path(path)
+    system = named.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    whole = system.makeQualified(named)
+    return whole.toString(), system.exists(whole) and system.getFileStatus(whole).isFile()
 
 
 def _streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        digests = []
-        for path in frame["path"]:
-            digest = hashlib.sha256()
+        sizes, digests = [], []
+        for path in frame["whole"]:
+            digest, size = hashlib.sha256(), 0
             with open_stream(path) as stream:
                 while chunk := stream.read(_CHUNK):
                     digest.update(chunk)
+                    size += len(chunk)
+            sizes.append(size)
             digests.append(digest.hexdigest())
-        yield frame.assign(sha256=digests)[["path", "bytes", "sha256"]]
-
-
-def digests(files: DataFrame, in_memory: int = _IN_MEMORY) -> DataFrame:
-    """``path, bytes, sha256`` of a ``binaryFile`` listing."""
-    small = files.where(F.col("length") <= in_memory).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = (
-        files.where(F.col("length") > in_memory)
-        .select("path", F.col("length").alias("bytes"))
-        .mapInPandas(_streamed, "path string, bytes long, sha256 string")
-    )
-    return small.unionByName(large)
-
-
-def fingerprint(
-    spark: SparkSession, paths: Sequence[str], in_memory: int = _IN_MEMORY
-) -> DataFrame:
-    """``path, exists, bytes, sha256`` (first digits) for each path asked for."""
-    wanted = [_plain(p) for p in paths]
-    folders: dict[str, list[str]] = {}
-    for path in wanted:
-        folder, _, name = path.rpartition("/")
-        folders.setdefault(folder or "/", []).append(name)
-    parts = []
-    for folder, names in folders.items():
-        try:
-            listing = (
-                spark.read.format("binaryFile")
-                .option("pathGlobFilter", "{" + ",".join(names) + "}")
-                .load(folder)
-            )
-        except AnalysisException:  # the folder itself does not exist
-            continue
-        parts.append(listing)
-    asked = spark.createDataFrame([(p, o) for p, o in zip(wanted, paths)], "key string, path string")
-    if not parts:
-        return asked.select(
-            "path",
-            F.lit(False).alias("exists"),
-            F.lit(None).cast("long").alias("bytes"),
-            F.lit(None).cast("string").alias("sha256"),
-        )
-    found = digests(reduce(DataFrame.unionByName, parts), in_memory).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("key"), "bytes", "sha256"
+        yield frame.assign(bytes=sizes, sha256=digests)[["path", "bytes", "sha256"]]
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, exists, bytes, sha256`` (first digits) for each path asked for.
+
+    Paths are taken as Hadoop takes them, relative ones and any character in a name
+    included; folders do not count as existing, and nothing but the files asked for is
+    looked at.  A file's hash cannot be split, so each is streamed by one task.
+    """
+    known = [(path, *_qualified(spark, path)) for path in dict.fromkeys(paths)]
+    asked = spark.createDataFrame([(p, e) for p, _, e in known], "path string, exists boolean")
+    there = [(p, whole) for p, whole, exists in known if exists]
+    files = spark.createDataFrame(there, "path string, whole string")
+    found = files.repartition(max(1, len(there)), "path").mapInPandas(
+        _streamed, "path string, bytes long, sha256 string"
     )
-    return asked.join(found, "key", "left").select(
-        "path",
-        F.col("sha256").isNotNull().alias("exists"),
-        "bytes",
-        F.substring("sha256", 1, DIGITS).alias("sha256"),
+    return asked.join(found, "path", "left").select(
+        "path", "exists", "bytes", F.substring("sha256", 1, DIGITS).alias("sha256")
     )

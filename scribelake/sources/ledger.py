@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.sources.tables import DEFAULT_DIALECT, native_options
+
 # Ledger columns in order.
 LEDGER_COLUMNS = (
     "experiment_id",
@@ -50,10 +52,13 @@ def ledger_rows(records: DataFrame) -> DataFrame:
 
 
 def append_ledger(records: DataFrame, path: str, format: str = "csv") -> None:
-    """Append to the ledger; each file carries the header, so readers see it once per file."""
+    """Append to the ledger, in the form that ``read_table`` reads by default.
+
+    Each file carries the header, so readers see it once per file.
+    """
     writer = ledger_rows(records).write.mode("append").format(format)
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"').option("quoteAll", True)
+        writer = writer.options(**native_options(DEFAULT_DIALECT)).option("quoteAll", True)
     writer.save(path)
 
 

@@ -16,7 +16,7 @@ from scribelake.functions.roles import (
     pick,
 )
 from scribelake.operators import guards
-from scribelake.operators.ids import need_all
+from scribelake.operators.ids import need_each_once
 from scribelake.operators.selection import relabel
 
 # Columns a label table must have.
@@ -64,34 +64,29 @@ def load_labelled_split(
 ) -> DataFrame:
     """Recordings of the labelled ids, their text replaced by the label.
 
-    Raises when labels lack a column, select no rows, or name an id (in its own
-    language) that the store does not hold.
+    Raises when labels lack a column, select no rows, lack or repeat an id, or name an
+    id (in its own language) that the store does not hold exactly once.
     """
     need_columns(labels.columns, LABEL_COLUMNS, "label table")
     languages = languages_or_default(languages)
     wanted = guards.in_languages(guards.in_split(labels, split), languages).select(
-        F.concat_ws("\x00", "language", F.col("id").cast("string")).alias("_key"),
-        F.col("id").cast("string").alias("id"),
-        F.col("transcription").alias("label"),
+        "language", F.col("id").cast("string").alias("id"), F.col("transcription").alias("label")
     )
     guards.with_rows(wanted, f"split {split!r}, languages {languages}")
-    rows = load_split(store, split, languages).withColumn(
-        "_key", F.concat_ws("\x00", "language", "id")
-    )
+    rows = load_split(store, split, languages)
+    key = ("language", "id")
     if checked:
-        need_all(
-            wanted.select("_key"), rows.select("_key"), f"recording in {split}", key="_key"
-        )
-    return relabel(rows, wanted.select("_key", "label"), key="_key").drop("_key")
+        need_each_once(wanted, rows, f"recording in {split}", key=key)
+    return relabel(rows, wanted, key=key, checked=not checked)
 
 
-def manifest(rows: DataFrame, split: str) -> DataFrame:
+def manifest(rows: DataFrame, split: str, *, read_bytes: bool = False) -> DataFrame:
     """Manifest records; the text is left out for the test split."""
     record = rows.select(
         F.col("id").cast("string").alias("id"),
         "language",
         F.lit(split).alias("split"),
-        audio_pointer(rows, "audio").alias("audio"),
+        audio_pointer(rows, "audio", read_bytes=read_bytes).alias("audio"),
         *([F.col("text")] if "text" in rows.columns and split != "test" else []),
     )
     return record

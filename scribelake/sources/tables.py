@@ -16,9 +16,26 @@ from scribelake.sources.files import open_stream
 CORRUPT = "_corrupt_record"
 _ROWS_PER_BATCH = 10_000
 
-# How a quote inside a quoted field is written.  The first two are read by Spark's own
-# reader, which knows one escape character; it mis-splits the other style.
+# How a quote inside a quoted field is written.  Spark's own reader and writer know one
+# escape character at a time and mis-split the other style; ``backslash`` is the default
+# of both, so that what one writes the other reads.
 NATIVE_ESCAPE = {"backslash": "\\", "doubled": '"'}
+DEFAULT_DIALECT = "backslash"
+# columns by which the rows of a numbered table are in file order
+POSITION = ("_file", "_row")
+
+
+def native_options(dialect: str) -> dict[str, str]:
+    """Options under which Spark's reader gives back what its writer was given."""
+    if dialect not in NATIVE_ESCAPE:
+        raise ValueError(f"unknown dialect {dialect!r}")
+    return {
+        "header": "true",
+        "quote": '"',
+        "escape": NATIVE_ESCAPE[dialect],
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
 
 
 def _reader(stream: io.TextIOBase) -> Iterator[list[str]]:
@@ -58,39 +75,63 @@ def read_table(
     spark: SparkSession,
     path: str | list[str],
     *,
-    dialect: str = "mixed",
+    dialect: str = DEFAULT_DIALECT,
     columns: Sequence[str] | None = None,
+    strict: bool = True,
+    multi_line: bool = True,
+    numbered: bool = False,
 ) -> DataFrame:
     """All rows of delimited files, every column a string, blank cells NULL.
 
-    ``mixed`` accepts ``\\"`` and ``""`` in the same file and streams each file once,
-    in bounded memory.  ``backslash`` and ``doubled`` use Spark's reader and are the
-    faster choice when the style is known; they add a ``_corrupt_record`` column for
-    lines that do not fit.  Fields may hold newlines, so one file is one task in every
-    dialect: keep large tables in many files, or convert them to Parquet once.
+    ``backslash``, as :func:`write_table` writes, and ``doubled`` use Spark's reader.
+    ``mixed`` accepts ``\\"`` and ``""`` in the same file; it streams each file once, in
+    bounded memory.  A row of too few or too many fields fails the read; with
+    ``strict=False`` the native dialects keep it in a ``_corrupt_record`` column instead.
+
+    Fields may hold newlines, so one file is one task: keep large tables in many files,
+    convert them to Parquet once, or pass ``multi_line=False`` for native tables without
+    such fields, whose files Spark then splits.  ``numbered`` adds the columns
+    ``POSITION``, which put the rows in file order.
     """
     columns = _columns(spark, path, columns)
-    schema = _string_schema(columns)
-    if dialect in NATIVE_ESCAPE:
-        return (
-            spark.read.schema(_string_schema([*columns, CORRUPT]))
-            .option("header", True)
+    if dialect != "mixed":
+        options = native_options(dialect)
+        if numbered and not multi_line:
+            raise ValueError("rows of split files cannot be numbered")
+        read = (
+            spark.read.schema(_string_schema([*columns] if strict else [*columns, CORRUPT]))
+            .options(**options)
             .option("enforceSchema", False)
-            .option("quote", '"')
-            .option("escape", NATIVE_ESCAPE[dialect])
-            .option("multiLine", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(path)
+            .option("multiLine", multi_line)
         )
-    if dialect != "mixed":
-        raise ValueError(f"unknown dialect {dialect!r}")
+        if strict:
+            rows = read.option("mode", "FAILFAST").csv(path)
+        else:
+            rows = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        if not numbered:
+            return rows
+        # a file is read by one task, from its first row to its last
+        return rows.select(
+            "*",
+            F.col("_metadata.file_path").alias(POSITION[0]),
+            F.monotonically_increasing_id().alias(POSITION[1]),
+        )
+    schema = _string_schema(columns)
     arrow_schema = pa.schema([(c, pa.string()) for c in columns])
+    if numbered:
+        schema = schema.add(POSITION[0], T.StringType()).add(POSITION[1], T.LongType())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column("path").to_pylist():
-                yield from _parse_file(file, arrow_schema)
+                done = 0
+                for part in _parse_file(file, arrow_schema):
+                    if numbered:
+                        n = part.num_rows
+                        part = part.append_column(POSITION[0], pa.array([file] * n, pa.string()))
+                        part = part.append_column(POSITION[1], pa.array(range(done, done + n), pa.int64()))
+                        done += n
+                    yield part
 
     return _listing(spark, path).select("path").mapInArrow(parse, schema)
 
@@ -108,14 +149,11 @@ def _parse_file(file: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         pending: list[list[str]] = []
 
         def batch() -> pa.RecordBatch:
-            cells = [
-                pa.array([(r[i] or None) if i < len(r) else None for r in pending], pa.string())
-                for i in places
-            ]
+            cells = [pa.array([r[i] or None for r in pending], pa.string()) for i in places]
             return pa.record_batch(cells, schema=schema)
 
         for row in rows:
-            if len(row) > len(header):
+            if row and len(row) != len(header):
                 raise ValueError(f"{file} line {rows.line_num}: {len(row)} fields")
             if row:
                 pending.append(row)
@@ -127,7 +165,7 @@ def _parse_file(file: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def malformed_rows(df: DataFrame) -> int:
-    """Lines a native dialect could not fit to the columns."""
+    """Lines a native dialect, read with ``strict=False``, could not fit to the columns."""
     # a data column takes part, since the reader refuses to fill the corrupt one alone
     row = df.agg(
         F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"), F.count(df.columns[0])
@@ -139,7 +177,7 @@ def write_table(
     df: DataFrame,
     path: str,
     *,
-    dialect: str = "doubled",
+    dialect: str = DEFAULT_DIALECT,
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
     single_file: bool = False,
@@ -147,13 +185,7 @@ def write_table(
     """Write a table with a header.  ``single_file`` is for small result tables."""
     if single_file:
         df = df.coalesce(1)
-    writer = (
-        df.write.mode(mode)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", NATIVE_ESCAPE[dialect])
-        .option("quoteAll", True)
-    )
+    writer = df.write.mode(mode).options(**native_options(dialect)).option("quoteAll", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)

@@ -6,13 +6,14 @@ import math
 import pytest
 
 import __spark_entry__ as contract
+from workload.all_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = ordered(df.collect(), df.columns)
     assert got
-    result = duck.execute(ORACLES[name].replace("sf0.01/", "sf0.001/"))
+    result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == ordered(result.fetchall(), columns)

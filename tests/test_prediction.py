@@ -70,6 +70,10 @@ def test_template_fill(spark):
     out = predict.fill_template(template, made, position="n")
     assert out.columns == ["ID", "Target", "other"]
     assert [tuple(r) for r in out.collect()] == [("a", "A", "k1"), ("b", "", "k2"), ("c", "", "k3")]
+    with pytest.raises(IncompleteError, match="repeat"):
+        predict.fill_template(template, made.unionByName(made.where("id = 'a'")))
+    unknown_twice = made.unionByName(made.where("id = 'zz'"))
+    assert predict.fill_template(template, unknown_twice).count() == 3
     with pytest.raises(ValueError, match="no column to fill"):
         predict.fill_template(template.select("ID"), made)
     assert predict.bare_submission(made).columns == ["ID", "transcription"]
@@ -78,7 +82,10 @@ def test_template_fill(spark):
 def test_dry_run(spark, tmp_path):
     test = spark.createDataFrame([("1",), ("1",), ("2",)], "ID string")
     template = spark.createDataFrame([("2", ""), ("3", "")], "ID string, Target string")
-    assert tuple(prediction.dry_run(test, template).first()) == (3, 2, 2, 2, 2)
+    report = {(r.measure, r.key): r.value for r in prediction.dry_run(test, template).collect()}
+    assert [report[m, ""] for m in ("test_rows", "sample_rows", "test_unique_ids", "sample_unique_ids")] == [3, 2, 2, 2]
+    assert report["test_sample_symmetric_difference", ""] == 2
+    assert report["test_id_prefix", ""] == 3 and report["sample_id_prefix", ""] == 2
     assert prediction.dry_run(test, None) is None
     prediction.log_dry_run(spark, prediction.Run("My run"), str(tmp_path / "book"))
     row = tables.read_table(spark, str(tmp_path / "book"), columns=LEDGER_COLUMNS).first()

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scribelake.operators import ids, profile, selection, vocabulary
+from scribelake.operators import ids, profile, vocabulary
 from scribelake.plans import corpus as corpus_plan
 
 SCHEMA = "id string, transcription string, language string, original_split string"
@@ -71,10 +71,7 @@ def test_drift_keeps_languages_without_tokens(corpus):
     assert got["c"] == (0, 0, 0, 0, 0, 0.0)
 
 
-@pytest.mark.parametrize("trimmed", [True, False])
-def test_top_tokens_break_ties_by_token(spark, monkeypatch, trimmed):
-    if not trimmed:
-        monkeypatch.setattr(selection, "_TRIMMED_IN_TASK", 0)
+def test_top_tokens_break_ties_by_token(spark):
     df = spark.createDataFrame([("b a b c a d", "x"), ("z", "y"), ("q", None)], "transcription string, language string")
     top = vocabulary.top_tokens(df, 3).orderBy("language", "rank").collect()
     assert [(r.language, r.token, r["count"]) for r in top] == [
@@ -187,3 +184,12 @@ def test_overview(spark, corpus):
     row = profile.overview(corpus, corpus.select("id"), corpus.limit(2)).first()
     assert (row.train_rows, row.test_rows, row.sample_rows, row.validation_rows) == (10, 10, 2, 3)
     assert row.languages == "a, b, c"
+
+
+def test_spelling_variants_of_long_tokens_and_single_letters(spark):
+    long = "ab" * 25_000
+    rows = [("x", long, 1, 0), ("x", long + "c", 0, 1)]
+    rows += [("x", chr(0x4E00 + i), i % 2, (i + 1) % 2) for i in range(3000)]
+    counts = spark.createDataFrame(rows, "language string, token string, checked_count long, known_count long")
+    found = vocabulary.spelling_variants(counts).collect()
+    assert [(len(r.unseen), len(r.known)) for r in found] == [(50_000, 50_001)]

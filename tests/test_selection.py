@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from scribelake.operators import ids, selection
 from scribelake.operators.ids import IncompleteError
 
@@ -19,7 +21,6 @@ def test_first_n(numbers):
 @pytest.mark.parametrize("n", [0, 1, 137, 999, 1000, 5000])
 def test_sample_is_exact_and_repeatable(numbers, monkeypatch, n):
     small = {r.id for r in selection.sample_n(numbers, n).collect()}
-    monkeypatch.setattr(selection, "_TAKE_LIMIT", -1)
     monkeypatch.setattr(selection, "_HASH_DIGITS", 1)
     large = {r.id for r in selection.sample_n(numbers.repartition(16), n).collect()}
     assert len(small) == min(n, 1000) and small == large
@@ -71,6 +72,30 @@ def test_oversampling_balances_groups(spark):
     assert again.groupBy("language").count().collect() and again.count() == sum(sizes.values())
 
 
-def test_bounded_tables_above_the_bound_stay_distributed(numbers):
-    assert selection.bounded(numbers, 10) is numbers
-    assert selection.bounded(numbers, 1000).count() == 1000
+def test_samples_of_any_size_are_the_first_by_hash(spark, numbers):
+    whole = [r.id for r in numbers.orderBy(selection._shuffled("id", 13), "id").select("id").collect()]
+    for n in (0, 1, 100, 500, len(whole) - 1, len(whole), len(whole) + 5):
+        assert {r.id for r in selection.sample_n(numbers, n).collect()} == set(whole[:n])
+    hot = numbers.withColumn("id", F.lit("same"))
+    assert selection.sample_n(hot, 7).count() == 7
+
+
+def test_an_id_wanted_often_is_looked_for_once(spark):
+    rows = spark.range(10).selectExpr("cast(id as string) as id")
+    wanted = spark.range(3000).selectExpr("'3' as id")
+    assert [r.id for r in selection.only_ids(rows, wanted).collect()] == ["3"]
+
+
+def test_wanted_rows_exist_once(spark):
+    def table(*names):
+        return spark.createDataFrame([(n,) for n in names], "id string")
+
+    ids.need_each_once(table("a"), table("a", "b", "b"), "clip")
+    for wanted, found, problem in (
+        (table("a", "c"), table("a"), "1 ids without a clip, first 'c'"),
+        (table("a"), table("a", "a"), "several"),
+        (table("a", "a"), table("a"), "repeatedly"),
+        (table("a", None), table("a", None), "unknown"),
+    ):
+        with pytest.raises(IncompleteError, match=problem):
+            ids.need_each_once(wanted, found, "clip")

@@ -1,6 +1,7 @@
 import csv
 import hashlib
 import json
+import os
 
 import pytest
 
@@ -34,12 +35,47 @@ def test_doubled_quotes_and_line_breaks(spark, tmp_path, dialect):
     assert [r.transcription for r in rows] == ['say "hello", now\nagain', "b"]
 
 
-def test_mixed_styles_blank_cells_and_short_rows(spark, tmp_path):
-    body = 'x1,"a \\"b\\" ""c"" \\\\",lug,train\nx2,,NA,train\nx3,only\n'
-    rows = read(spark, tmp_path, body).orderBy("id").collect()
+def test_mixed_styles_and_blank_cells(spark, tmp_path):
+    body = 'x1,"a \\"b\\" ""c"" \\\\",lug,train\nx2,,NA,train\n'
+    rows = read(spark, tmp_path, body, dialect="mixed").orderBy("id").collect()
     assert rows[0].transcription == 'a "b" "c" \\'
-    assert rows[1].transcription is None and rows[1].language == "NA"
-    assert rows[2].language is None and len(rows) == 3
+    assert rows[1].transcription is None and rows[1].language == "NA" and len(rows) == 2
+
+
+@pytest.mark.parametrize("dialect", ["mixed", "backslash", "doubled"])
+def test_short_rows_fail(spark, tmp_path, dialect):
+    with pytest.raises(Exception, match="fields|[Mm]alformed"):
+        read(spark, tmp_path, "x1,a,b,c\nx3,only\n", dialect=dialect).collect()
+
+
+@pytest.mark.parametrize("dialect", ["mixed", "backslash", "doubled"])
+def test_numbered_rows_are_in_file_order(spark, tmp_path, dialect):
+    body = "".join(f"{i * 7 % 100:03},\"a\nb\",l,t\n" for i in range(100))
+    rows = read(spark, tmp_path, body, dialect=dialect, numbered=True).repartition(7)
+    ordered = [r.id for r in rows.orderBy(*tables.POSITION).collect()]
+    assert ordered == [f"{i * 7 % 100:03}" for i in range(100)]
+
+
+def test_single_line_files_are_split(spark, tmp_path):
+    body = "".join(f"x{i},a,b,c\n" for i in range(2000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = read(spark, tmp_path, body, multi_line=False)
+        assert rows.rdd.getNumPartitions() > 1 and rows.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="numbered"):
+        read(spark, tmp_path, body, multi_line=False, numbered=True)
+
+
+def test_defaults_agree_on_awkward_texts(spark, tmp_path):
+    data = [
+        ("1", "C:\\new\\table"), ("2", "ends with \\"), ("3", '"'), ("4", '""'), ("5", "\\"), ("6", '\\"'),
+        ("7", "\\\\\\\""), ("8", " lead and trail \t"), ("9", "a\nb\r\nc"), ("10", None),
+    ]
+    df = spark.createDataFrame(data, "id string, t string")
+    tables.write_table(df, str(tmp_path / "o"))
+    assert sorted((r.id, r.t) for r in tables.read_table(spark, str(tmp_path / "o")).collect()) == sorted(data)
 
 
 def test_long_fields_and_many_rows(spark, tmp_path):
@@ -52,10 +88,10 @@ def test_long_fields_and_many_rows(spark, tmp_path):
 def test_rows_that_do_not_fit(spark, tmp_path):
     body = "x1,a,b,c,d,e\nx2,a,b,c\n"
     with pytest.raises(Exception, match="6 fields"):
-        read(spark, tmp_path, body).collect()
-    assert tables.malformed_rows(read(spark, tmp_path, body, dialect="backslash")) == 1
+        read(spark, tmp_path, body, dialect="mixed").collect()
+    assert tables.malformed_rows(read(spark, tmp_path, body, strict=False)) == 1
     with pytest.raises(Exception, match="lacks columns"):
-        read(spark, tmp_path, body, columns=["nope"]).collect()
+        read(spark, tmp_path, body, dialect="mixed", columns=["nope"]).collect()
     with pytest.raises(ValueError, match="dialect"):
         read(spark, tmp_path, body, dialect="other")
 
@@ -104,7 +140,7 @@ def test_labelled_split(spark, store):
     assert [(r.id, r.language, r.text) for r in rows] == [("1", "x", "new one"), ("3", "y", "new three")]
     with pytest.raises(EmptyInputError):
         splits.load_labelled_split(store, labels, "train", ["zz"])
-    with pytest.raises(IncompleteError, match="1 ids have no recording"):
+    with pytest.raises(IncompleteError, match="1 ids without a recording"):
         splits.load_labelled_split(store, labels, "validation", ["y"])
     with pytest.raises(MissingColumnError, match="original_split"):
         splits.load_labelled_split(store, labels.drop("original_split"), "train")
@@ -115,7 +151,7 @@ def test_labelled_split(spark, store):
 
 
 def test_manifests(store, tmp_path):
-    write_manifests(store, str(tmp_path / "m"), ["train", "test"], ["x", "y"])
+    write_manifests(store, str(tmp_path / "m"), ["train", "test"], ["x", "y"], read_bytes=True)
     files = list((tmp_path / "m").glob("language_=*/split_=*/*.json"))
     records = {
         r["id"]: r for f in files for r in map(json.loads, f.read_text(encoding="utf-8").splitlines())
@@ -143,13 +179,47 @@ def test_ledger_appends_fixed_columns(spark, tmp_path):
     assert len(ledger.LEDGER_COLUMNS) == 16
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_fingerprint(spark, tmp_path, in_memory):
-    data = b"x" * 3_000_000 if in_memory == 0 else b"abc"
+@pytest.mark.parametrize("size", [3, 3_000_000])
+def test_fingerprint(spark, tmp_path, size):
+    data = b"x" * size
     (tmp_path / "a.bin").write_bytes(data)
-    asked = [str(tmp_path / "a.bin"), str(tmp_path / "gone.bin"), "/no/such/folder/f"]
-    rows = {r.path: r for r in fp.fingerprint(spark, asked, in_memory).collect()}
+    asked = [str(tmp_path / "a.bin"), str(tmp_path / "gone.bin"), "/no/such/folder/f", str(tmp_path)]
+    rows = {r.path: r for r in fp.fingerprint(spark, asked).collect()}
     assert list(rows[asked[0]])[1:] == [True, len(data), hashlib.sha256(data).hexdigest()[:16]]
     assert list(rows[asked[1]])[1:] == [False, None, None]
-    assert not rows[asked[2]].exists and len(rows) == 3
-    assert not fp.fingerprint(spark, asked[2:]).first().exists
+    assert not rows[asked[2]].exists and not rows[asked[3]].exists and len(rows) == 4
+    assert not fp.fingerprint(spark, asked[2:3]).first().exists
+
+
+def test_fingerprint_of_relative_paths_and_odd_names(spark, tmp_path):
+    names = ["a b.csv", "c[1].csv", "e,f.csv", "g{h}.csv", "i*.csv", "j?.csv", "é.csv"]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    asked = [f"file:{tmp_path}/{n}" for n in names[:3]] + [str(tmp_path / n) for n in names[3:]]
+    found = {r.path: r.sha256 for r in fp.fingerprint(spark, asked).collect()}
+    assert [found[p] for p in asked] == [hashlib.sha256(n.encode()).hexdigest()[:16] for n in names]
+    working = os.getcwd()
+    inside = os.path.relpath(tmp_path / "a b.csv", working)
+    assert fp.fingerprint(spark, [inside]).first().exists
+
+
+def labels_of(spark, *rows):
+    return spark.createDataFrame(
+        list(rows), "id string, transcription string, language string, original_split string"
+    )
+
+
+def test_labels_need_known_and_single_ids(spark, store):
+    good = labels_of(spark, ("1", "n", "x", "train"))
+    assert splits.load_labelled_split(store, good, "train", ["x"]).first().text == "n"
+    bad = {
+        "unknown": (None, "n", "x", "train"),
+        "repeatedly": ("1", "again", "x", "train"),
+        "without": ("3", "other language", "x", "train"),
+    }
+    for problem, row in bad.items():
+        with pytest.raises(IncompleteError, match=problem):
+            splits.load_labelled_split(store, good.unionByName(labels_of(spark, row)), "train", ["x"])
+    twice = store.unionByName(store.where("id = 1"))
+    with pytest.raises(IncompleteError, match="several"):
+        splits.load_labelled_split(twice, good, "train", ["x"])

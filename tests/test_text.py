@@ -142,13 +142,19 @@ def test_canonical_survives_names_that_differ_in_case(spark):
     assert row.asDict() == {"id": "1", "text": "t"}
 
 
+def test_bytes_without_a_flag_are_not_read(spark):
+    df = spark.createDataFrame([(("a.wav", bytearray(b"x")),)], "audio struct<path:string,bytes:binary>")
+    with pytest.raises(roles.MissingColumnError, match="flag"):
+        roles.audio_pointer(df, "audio")
+
+
 def test_audio_pointer(spark):
     df = spark.createDataFrame(
         [(("a.wav", bytearray(b"x")), "b.wav"), (("c.wav", None), None)],
         "audio struct<path:string,bytes:binary>, plain string",
     )
     rows = df.select(
-        roles.audio_pointer(df, "audio").alias("a"), roles.audio_pointer(df, "plain").alias("p")
+        roles.audio_pointer(df, "audio", read_bytes=True).alias("a"), roles.audio_pointer(df, "plain").alias("p")
     ).collect()
     assert [tuple(r.a) for r in rows] == [("a.wav", True), ("c.wav", False)]
     assert tuple(rows[0].p) == ("b.wav", False)

@@ -79,6 +79,12 @@ def shown_rows(spark: SparkSession, sf: str) -> DataFrame:
     return selection.shown(counts, 5)
 
 
+_FEATURES = rf"""SELECT language, original_split, length(n)::DOUBLE AS char_len,
+            len(w)::DOUBLE AS word_len, len(list_distinct(w))::DOUBLE AS unique_word_len,
+            len(regexp_extract_all(transcription, '[!-/:-@\[-`{{-~]'))::DOUBLE AS punct_count
+            FROM (SELECT *, {t.words_sql('n')} AS w FROM (SELECT *, {NORM} AS n FROM corpus))"""
+
+
 def _quantiles_sql() -> str:
     parts = []
     for feature in profile.QUANTILE_FEATURES:
@@ -87,10 +93,7 @@ def _quantiles_sql() -> str:
     return t.with_sql(
         "corpus",
         f"SELECT language, original_split, count(*) AS rows, {', '.join(parts)} FROM f GROUP BY ALL",
-        f=rf"""SELECT language, original_split, length(n)::DOUBLE AS char_len,
-            len(w)::DOUBLE AS word_len, len(list_distinct(w))::DOUBLE AS unique_word_len,
-            len(regexp_extract_all(transcription, '[!-/:-@\[-`{{-~]'))::DOUBLE AS punct_count
-            FROM (SELECT *, {t.words_sql('n')} AS w FROM (SELECT *, {NORM} AS n FROM corpus))""",
+        f=_FEATURES,
     )
 
 
@@ -177,6 +180,19 @@ def top_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.top_tokens(t.corpus(spark, sf), 50)
 
 
+@query(
+    t.with_sql(
+        "corpus",
+        """SELECT * FROM (SELECT language, token, count(*) AS count, row_number() OVER (
+            PARTITION BY language ORDER BY count(*) DESC, token) AS rank
+            FROM tok GROUP BY language, token) WHERE rank <= 2000""",
+        tok=_TOKENS,
+    )
+)
+def top_tokens_many(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.top_tokens(t.corpus(spark, sf), 2000)
+
+
 @query(
     t.with_sql(
         "corpus",
@@ -184,7 +200,7 @@ def top_tokens(spark: SparkSession, sf: str) -> DataFrame:
             k.token AS known, k.known_count
         FROM forms u JOIN forms k ON u.language = k.language AND u.form = k.form
         WHERE u.checked_count > 0 AND u.known_count = 0 AND k.known_count > 0
-            AND {t.chars_distance_sql('u.token', 'k.token')} = 1""",
+            AND u.form <> '' AND {t.chars_distance_sql('u.token', 'k.token')} = 1""",
         tok=_TOKENS,
         counts=_COUNTS,
         forms="""SELECT *, token AS form FROM counts UNION ALL
@@ -208,28 +224,30 @@ def repeated_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return ids.repeat_count(t.flagged(spark, sf), "transcription")
 
 
+_FLAG_CHECKS = {
+    "duplicate_train_ids": "(SELECT count(*) - count(DISTINCT id) FROM flagged)",
+    "duplicate_test_ids": "(SELECT count(*) - count(DISTINCT ID) FROM test_ids)",
+    "train_test_id_overlap": "(SELECT count(DISTINCT id) FROM flagged "
+    "WHERE id IN (SELECT ID FROM test_ids))",
+    "test_sample_id_symmetric_difference": "(SELECT count(DISTINCT ID) FROM test_ids "
+    "WHERE ID NOT IN (SELECT ID FROM template)) + (SELECT count(DISTINCT ID) FROM template "
+    "WHERE ID NOT IN (SELECT ID FROM test_ids))",
+    "empty_train_transcriptions": "(SELECT count(*) FROM flagged "
+    "WHERE coalesce(transcription, '') = '')",
+    "normalized_empty_train_transcriptions": f"(SELECT count(*) FROM flagged WHERE {NORM} = '')",
+    "repeated_transcriptions": "(SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM flagged "
+    "GROUP BY transcription))",
+    "transcriptions_with_digits": r"(SELECT count(*) FROM flagged "
+    r"WHERE regexp_matches(transcription, '\d'))",
+    "transcriptions_with_quotes": "(SELECT count(*) FROM flagged "
+    "WHERE contains(transcription, '\"'))",
+}
+
+
 def _flags_sql() -> str:
-    checks = {
-        "duplicate_train_ids": "(SELECT count(*) - count(DISTINCT id) FROM flagged)",
-        "duplicate_test_ids": "(SELECT count(*) - count(DISTINCT ID) FROM test_ids)",
-        "train_test_id_overlap": "(SELECT count(DISTINCT id) FROM flagged "
-        "WHERE id IN (SELECT ID FROM test_ids))",
-        "test_sample_id_symmetric_difference": "(SELECT count(DISTINCT ID) FROM test_ids "
-        "WHERE ID NOT IN (SELECT ID FROM template)) + (SELECT count(DISTINCT ID) FROM template "
-        "WHERE ID NOT IN (SELECT ID FROM test_ids))",
-        "empty_train_transcriptions": "(SELECT count(*) FROM flagged "
-        "WHERE coalesce(transcription, '') = '')",
-        "normalized_empty_train_transcriptions": f"(SELECT count(*) FROM flagged WHERE {NORM} = '')",
-        "repeated_transcriptions": "(SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM flagged "
-        "GROUP BY transcription))",
-        "transcriptions_with_digits": r"(SELECT count(*) FROM flagged "
-        r"WHERE regexp_matches(transcription, '\d'))",
-        "transcriptions_with_quotes": "(SELECT count(*) FROM flagged "
-        "WHERE contains(transcription, '\"'))",
-    }
     rows = " UNION ALL ".join(
         f"SELECT '{name}' AS \"check\", ({sql})::BIGINT AS value, '{profile.SEVERITY[name]}' AS severity"
-        for name, sql in checks.items()
+        for name, sql in _FLAG_CHECKS.items()
     )
     return t.with_sql("flagged test_ids template", rows)
 
@@ -281,14 +299,16 @@ def distinct_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     t.with_sql(
         "flagged test_ids",
-        """SELECT 'train' AS path, 'id' AS "column", 'id' AS roles, count(*) AS rows,
+        """SELECT 'train' AS path, 'id' AS "column", 'id' AS roles, NULL AS value, count(*) AS rows,
             count(*) FILTER (id IS NULL) AS nulls, count(DISTINCT id) AS distinct_ids FROM flagged
-        UNION ALL SELECT 'train', 'transcription', 'text', count(*),
+        UNION ALL SELECT 'train', 'transcription', 'text', NULL, count(*),
             count(*) FILTER (transcription IS NULL), NULL FROM flagged
-        UNION ALL SELECT 'train', 'language', 'language', count(*), 0, NULL FROM flagged
-        UNION ALL SELECT 'train', 'original_split', '', count(*), 0, NULL FROM flagged
-        UNION ALL SELECT 'test', 'ID', 'id', count(*), 0, count(DISTINCT ID) FROM test_ids
-        UNION ALL SELECT 'absent', NULL, 'missing', NULL, NULL, NULL""",
+        UNION ALL SELECT 'train', 'language', 'language', NULL, count(*), 0, NULL FROM flagged
+        UNION ALL SELECT 'train', 'original_split', '', NULL, count(*), 0, NULL FROM flagged
+        UNION ALL SELECT 'train', 'language', 'language value', language, count(*), NULL, NULL
+            FROM flagged GROUP BY language
+        UNION ALL SELECT 'test', 'ID', 'id', NULL, count(*), 0, count(DISTINCT ID) FROM test_ids
+        UNION ALL SELECT 'absent', NULL, 'missing', NULL, NULL, NULL, NULL""",
     )
 )
 def table_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,57 +366,94 @@ def id_symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _melted_sql(table: str, key: str, source: str, measures: dict[str, str], group: str) -> str:
+    """``table, key, measure, value``, one row per key and measure."""
+    inner = ", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in measures.items())
+    entries = ", ".join(f"struct_pack(measure := '{n}', value := {n})" for n in measures)
+    return f"""SELECT '{table}' AS "table", key, e.measure AS measure, e.value AS value FROM (
+        SELECT key, unnest([{entries}]) AS e FROM (SELECT {key} AS key, {inner} FROM {source} {group}))"""
+
+
 def _report_sql() -> str:
-    """All report tables as (table, key, value) rows."""
-    body = f"""
-        SELECT 'language_split_counts' AS "table", language || '/' || original_split AS key,
-               count(*)::DOUBLE AS value FROM corpus GROUP BY ALL
-        UNION ALL SELECT 'language_counts', language, count(*) FROM corpus GROUP BY ALL
-        UNION ALL SELECT 'test_id_prefix_counts', split_part(ID, '_', 1), count(*)
-            FROM test_ids GROUP BY ALL
-        UNION ALL SELECT 'transcript_length_by_language_split', language || '/' || original_split,
-            round(quantile_cont(length({NORM}), 0.95), 6) FROM corpus GROUP BY language, original_split
-        UNION ALL SELECT 'validation_oov_by_language', language,
-            coalesce(sum(checked_count) FILTER (known_count = 0), 0)::DOUBLE
-            / greatest(sum(checked_count), 1)::DOUBLE FROM counts GROUP BY language
-        UNION ALL SELECT 'top_tokens', language || '/' || token, n FROM (
-            SELECT language, token, count(*) AS n, row_number() OVER (
-                PARTITION BY language ORDER BY count(*) DESC, token) AS rank
-            FROM tok GROUP BY language, token) WHERE rank <= 20
-        UNION ALL SELECT 'quality_flags', 'repeated_transcriptions',
-            (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM corpus GROUP BY transcription))"""
-    return t.with_sql("corpus test_ids", body, tok=_TOKENS, counts=_COUNTS)
+    """All columns of all report tables, as (table, key, measure, value) rows."""
+    quantiles = {
+        f"{feature}_{name}": f"round(quantile_cont({feature}, {q}), 6)"
+        for feature in profile.QUANTILE_FEATURES
+        for name, q in profile.QUANTILES.items()
+    }
+    unseen = "coalesce(sum(checked_count) FILTER (known_count = 0), 0)"
+    drift = {
+        "train_vocab": "count(*) FILTER (known_count > 0)",
+        "validation_vocab": "count(*) FILTER (checked_count > 0)",
+        "validation_token_count": "sum(checked_count)",
+        "validation_unseen_vocab": "count(*) FILTER (checked_count > 0 AND known_count = 0)",
+        "validation_unseen_token_count": unseen,
+        "validation_unseen_token_rate": f"{unseen}::DOUBLE / greatest(sum(checked_count), 1)::DOUBLE",
+    }
+    by_split, rows = "language || '/' || original_split", {"rows": "count(*)"}
+    top = """(SELECT language, token, count(*) AS n, row_number() OVER (
+        PARTITION BY language ORDER BY count(*) DESC, token) AS rank FROM tok GROUP BY language, token)"""
+    parts = [
+        _melted_sql("language_split_counts", by_split, "corpus", rows, "GROUP BY language, original_split"),
+        _melted_sql("language_counts", "language", "corpus", rows, "GROUP BY language"),
+        _melted_sql("test_id_prefix_counts", "split_part(ID, '_', 1)", "test_ids", rows, "GROUP BY ALL"),
+        _melted_sql(
+            "transcript_length_by_language_split", by_split, "features", rows | quantiles,
+            "GROUP BY language, original_split",
+        ),
+        _melted_sql("validation_oov_by_language", "language", "counts", drift, "GROUP BY language"),
+        _melted_sql(
+            "top_tokens", "language || '/' || token", top, {"count": "n", "rank": "rank"}, "WHERE rank <= 20"
+        ),
+        _melted_sql("quality_flags", '"check"', "flags", {"value": "value"}, ""),
+    ]
+    flags = " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", ({sql.replace('flagged', 'corpus')})::BIGINT AS value"
+        for name, sql in _FLAG_CHECKS.items()
+    )
+    return t.with_sql(
+        "corpus test_ids template",
+        " UNION ALL ".join(parts),
+        tok=_TOKENS,
+        counts=_COUNTS,
+        features=_FEATURES,
+        flags=flags,
+    )
 
 
 @query(_report_sql())
 def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
-    """One value of each report table, side by side."""
+    """All numbers of all report tables, in long form; quantiles rounded."""
     tables = corpus_plan.corpus_profile(
         t.corpus(spark, sf), t.test_ids(spark, sf), t.template(spark, sf), top_n=20
     )
-    by_split = F.concat_ws("/", "language", "original_split")
-    chosen = {
-        "language_split_counts": (by_split, "rows"),
-        "language_counts": (F.col("language"), "rows"),
-        "test_id_prefix_counts": (F.col("id_prefix"), "rows"),
-        "transcript_length_by_language_split": (by_split, "char_len_p95"),
-        "validation_oov_by_language": (F.col("language"), "validation_unseen_token_rate"),
-        "top_tokens": (F.concat_ws("/", "language", "token"), "count"),
-        "quality_flags": (F.col("check"), "value"),
+    keys = {
+        "language_split_counts": ["language", "original_split"],
+        "language_counts": ["language"],
+        "test_id_prefix_counts": ["id_prefix"],
+        "transcript_length_by_language_split": ["language", "original_split"],
+        "validation_oov_by_language": ["language"],
+        "top_tokens": ["language", "token"],
+        "quality_flags": ["check"],
     }
     parts = []
-    for name, (key, value) in chosen.items():
+    for name, key in keys.items():
         table = tables[name]
-        if name == "quality_flags":
-            table = table.where(F.col("check") == "repeated_transcriptions")
+        numbers = [c for c, kind in table.dtypes if c not in key and kind != "string"]
+        rounded = name == "transcript_length_by_language_split"
+        entries = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("measure"),
+                    (F.round(c, 6) if rounded else F.col(c)).cast("double").alias("value"),
+                )
+                for c in numbers
+            ]
+        )
         parts.append(
             table.select(
-                F.lit(name).alias("table"),
-                key.alias("key"),
-                (F.round(value, 6) if value == "char_len_p95" else F.col(value))
-                .cast("double")
-                .alias("value"),
-            )
+                F.lit(name).alias("table"), F.concat_ws("/", *key).alias("key"), F.explode(entries).alias("e")
+            ).select("table", "key", "e.*")
         )
     whole = parts[0]
     for part in parts[1:]:

@@ -19,7 +19,7 @@ def scored_sql(model: str, where: str = "", normalised: bool = True) -> str:
     if normalised:
         r, p = t.norm_sql("transcription"), t.norm_sql("prediction")
     else:
-        r, p = "lower(transcription)", "prediction"
+        r, p = "transcription", "prediction"
     return t.with_sql(
         f"utterances {model}",
         "",
@@ -86,18 +86,26 @@ def score_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return validation.score_pairs(transcripts, t.model_a(transcripts))
 
 
+@query(scored_sql("model_a") + f"SELECT wer, cer, error, score FROM ({metrics_sql()})")
+def score_pairs_builtin(spark: SparkSession, sf: str) -> DataFrame:
+    transcripts = t.utterances(spark, sf)
+    return validation.score_pairs(transcripts, t.model_a(transcripts), engine="builtin")
+
+
+@query(scored_sql("model_a", "WHERE original_split = 'validation'") + sliced_sql())
+def validation_report_builtin(spark: SparkSession, sf: str) -> DataFrame:
+    transcripts = t.utterances(spark, sf)
+    return validation.validation_report(transcripts, t.model_a(transcripts), engine="builtin")
+
+
 @query(
     scored_sql("model_a", normalised=False)
     + f"SELECT wer, cer, error, score FROM ({metrics_sql()})"
 )
 def score_pairs_raw(spark: SparkSession, sf: str) -> DataFrame:
     transcripts = t.utterances(spark, sf)
-    # no capitals on either side; punctuation stays and is counted as wrong
-    return validation.score_pairs(
-        transcripts.withColumn("transcription", F.lower("transcription")),
-        t.model_a(transcripts),
-        normalised=False,
-    )
+    # capitals and punctuation stay and are counted as wrong
+    return validation.score_pairs(transcripts, t.model_a(transcripts), normalised=False)
 
 
 @query(scored_sql("model_a") + metrics_sql("language"))
@@ -146,20 +154,24 @@ def worst_rows_by_language(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     t.with_sql(
         "utterances model_a model_b",
-        f"""SELECT id, word_edits, char_edits, 0.5::DOUBLE * wer + 0.5::DOUBLE * cer AS error
-        FROM (SELECT *, {_ROW_RATES} FROM scored) WHERE char_edits > 0""",
-        pairs=f"""SELECT x.ID AS id, {t.norm_sql('x.prediction')} AS r, {t.norm_sql('y.prediction')} AS p
-            FROM model_a x JOIN model_b y ON x.ID = y.ID""",
+        f"""SELECT id, in_both, word_edits, char_edits, 0.5::DOUBLE * wer + 0.5::DOUBLE * cer AS error
+        FROM (SELECT *, {_ROW_RATES} FROM scored) WHERE char_edits > 0 OR NOT in_both""",
+        pairs=f"""SELECT coalesce(x.ID, y.ID) AS id, x.ID IS NOT NULL AND y.ID IS NOT NULL AS in_both,
+                {t.norm_sql('x.prediction')} AS r, {t.norm_sql('y.prediction')} AS p
+            FROM (SELECT * FROM model_a WHERE NOT ends_with(ID, '7')) x
+            FULL JOIN (SELECT * FROM model_b WHERE NOT ends_with(ID, '5')) y ON x.ID = y.ID""",
         listed=f"SELECT *, {t.words_sql('r')} AS a, {t.words_sql('p')} AS b FROM pairs",
-        scored=f"""SELECT id, ({t.chars_distance_sql('r', 'p')})::INTEGER AS char_edits,
+        scored=f"""SELECT id, in_both, ({t.chars_distance_sql('r', 'p')})::INTEGER AS char_edits,
             length(r) AS char_total, ({t.words_distance_sql('a', 'b')})::INTEGER AS word_edits,
             len(a) AS word_total FROM listed""",
     )
 )
 def model_disagreements(spark: SparkSession, sf: str) -> DataFrame:
     transcripts = t.utterances(spark, sf)
-    apart = scoring.disagreements(t.model_a(transcripts), t.model_b(transcripts))
-    return apart.select("id", "word_edits", "char_edits", "error")
+    first = t.model_a(transcripts).where(~F.endswith("ID", F.lit("7")))
+    second = t.model_b(transcripts).where(~F.endswith("ID", F.lit("5")))
+    apart = scoring.disagreements(first, second)
+    return apart.select("id", "in_both", "word_edits", "char_edits", "error")
 
 
 _GAP = "SELECT * FROM model_a WHERE prediction NOT LIKE '%qu%' UNION ALL SELECT 'zz_0', 'x'"

@@ -22,6 +22,11 @@ LANGUAGES = ("en", "fr", "es")
 _CORPUS = t.with_sql("corpus", "SELECT * FROM corpus")
 
 
+def _sql_text(text: str) -> str:
+    """A text as SQL, control characters by number."""
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
 def _csv_round_trip(spark: SparkSession, rows: DataFrame, written: str, read: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     tables.write_table(rows, path, dialect=written)
@@ -48,6 +53,32 @@ def csv_scan_mixed(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.col("original_split") == "validation"
     tables.write_table(rows.where(held_out), path, dialect="backslash", mode="append")
     tables.write_table(rows.where(~held_out), path, dialect="doubled", mode="append")
+    return tables.read_table(spark, path, dialect="mixed")
+
+
+# what every text gets: a path, quotes in both styles, line breaks and a last backslash
+_AWKWARD = "C:\\new\\table \\\"a\\\" \"\" \n\r\n \t , ' "
+
+
+@query(
+    t.with_sql(
+        "corpus",
+        f"""SELECT id, {_sql_text(_AWKWARD)} || coalesce(transcription, '') || chr(92) AS transcription,
+            language || chr(92) AS language, chr(34) || original_split AS original_split FROM corpus""",
+    )
+)
+def csv_defaults_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """What the default writer wrote and the default reader gives back."""
+    rows = t.corpus(spark, sf).select(
+        "id",
+        F.concat(F.lit(_AWKWARD), F.coalesce("transcription", F.lit("")), F.lit("\\")).alias(
+            "transcription"
+        ),
+        F.concat("language", F.lit("\\")).alias("language"),
+        F.concat(F.lit('"'), "original_split").alias("original_split"),
+    )
+    path = scratch_path(spark, "csv")
+    tables.write_table(rows, path)
     return tables.read_table(spark, path)
 
 
@@ -103,13 +134,16 @@ def concatenated_splits(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     t.with_sql(
         "test_ids template",
-        """SELECT (SELECT count(*) FROM test_ids) AS test_rows,
-            (SELECT count(*) FROM template) AS sample_rows,
-            (SELECT count(DISTINCT ID) FROM test_ids) AS test_unique_ids,
-            (SELECT count(DISTINCT ID) FROM template) AS sample_unique_ids,
-            (SELECT count(*) FROM (SELECT ID FROM test_ids EXCEPT SELECT ID FROM template))
-            + (SELECT count(*) FROM (SELECT ID FROM template EXCEPT SELECT ID FROM test_ids))
-            AS test_sample_symmetric_difference, 'dry_run_validated' AS status""",
+        """SELECT *, 'dry_run_validated' AS status FROM (
+            SELECT 'test_rows' AS measure, '' AS key, count(*) AS value FROM test_ids
+            UNION ALL SELECT 'sample_rows', '', count(*) FROM template
+            UNION ALL SELECT 'test_unique_ids', '', count(DISTINCT ID) FROM test_ids
+            UNION ALL SELECT 'sample_unique_ids', '', count(DISTINCT ID) FROM template
+            UNION ALL SELECT 'test_sample_symmetric_difference', '', count(*) FROM (
+                (SELECT ID FROM test_ids EXCEPT SELECT ID FROM template)
+                UNION ALL (SELECT ID FROM template EXCEPT SELECT ID FROM test_ids))
+            UNION ALL SELECT 'test_id_prefix', split_part(ID, '_', 1), count(*) FROM test_ids GROUP BY ALL
+            UNION ALL SELECT 'sample_id_prefix', split_part(ID, '_', 1), count(*) FROM template GROUP BY ALL)""",
     )
 )
 def prediction_dry_run(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,6 +247,30 @@ def template_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    t.with_sql(
+        "template",
+        """SELECT row_number() OVER (ORDER BY md5(template.ID), template.ID) AS place, template.ID,
+            coalesce(prediction, '') AS Target
+        FROM template LEFT JOIN said ON template.ID = said.ID""",
+        said=_read_aloud_sql(),
+    )
+)
+def template_fill_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored template in an order of its own, filled and read back with its row numbers."""
+    given, filled = scratch_path(spark, "template"), scratch_path(spark, "filled")
+    shuffled = t.template(spark, sf).orderBy(F.md5("ID"), "ID").coalesce(1)
+    tables.write_table(shuffled, given)
+    template = tables.read_table(spark, given, numbered=True).na.fill("")
+    rows = prediction.prediction_rows(t.recordings(spark, sf), "test", [*LANGUAGES, "de"])
+    made = prediction.predict_split(rows, read_aloud, batch_size=16)
+    submission = predict.fill_template(template, made, position=tables.POSITION)
+    tables.write_table(submission, filled, single_file=True)
+    back = tables.read_table(spark, filled, numbered=True).na.fill("")
+    place = F.col(tables.POSITION[1]) + 1
+    return back.select(place.alias("place"), "ID", "Target")
+
+
 @query(_FILLED)
 def batch_prediction_job(spark: SparkSession, sf: str) -> DataFrame:
     """The whole job; returns the submission as it was stored."""
@@ -251,19 +309,26 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT split_part(filename, '/', -1) AS file, true AS "exists", size AS bytes,
-        sha256(content)[1:16] AS sha256
-    FROM read_blob('/root/testdata/sf0.01/*.parquet')
-    UNION ALL SELECT 'absent.parquet', false, NULL, NULL"""
+    """SELECT source, true AS "exists", sum(strlen(text) + 1)::BIGINT AS bytes,
+        sha256(string_agg(text || chr(10), '' ORDER BY doc_id))[1:16] AS sha256
+    FROM documents GROUP BY source
+    UNION ALL SELECT 'absent', false, NULL, NULL"""
 )
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    names = (
-        "region nation customer supplier part orders lineitem events documents embeddings "
-        "pages benchmark labels conversations absent"
-    ).split()
-    prints = fp.fingerprint(spark, [f"{sf}/{name}.parquet" for name in names])
+    """Fingerprints of one text file per source, and of one that is not there."""
+    path = scratch_path(spark, "texts")
+    texts = t.read(spark, sf, "documents").select("source", "doc_id", "text").repartition("source")
+    (
+        texts.sortWithinPartitions("source", "doc_id")
+        .select("source", "text")
+        .write.partitionBy("source")
+        .text(path)
+    )
+    names = spark.read.format("binaryFile").load(path).select("path").collect()
+    asked = [row.path for row in names] + [f"{path}/source=absent/part-0.txt"]
+    prints = fp.fingerprint(spark, asked)
     return prints.select(
-        F.substring_index("path", "/", -1).alias("file"), "exists", "bytes", "sha256"
+        F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "exists", "bytes", "sha256"
     )
 
 
@@ -342,6 +407,18 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     return selection.sample_n(t.corpus(spark, sf), 100).select("id", "language")
 
 
+@query(
+    t.with_sql(
+        "corpus",
+        """SELECT id, language FROM (SELECT *, row_number() OVER (ORDER BY md5('13:' || id), id) AS nr,
+            count(*) OVER () AS n FROM corpus) WHERE nr <= n // 2""",
+    )
+)
+def seeded_sample_half(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = t.corpus(spark, sf)
+    return selection.sample_n(corpus, corpus.count() // 2).select("id", "language")
+
+
 _FACTORS = """SELECT language, count(*) AS rows,
     (SELECT max(n) FROM (SELECT count(*) AS n FROM corpus GROUP BY language))::DOUBLE
     / count(*)::DOUBLE AS copies FROM corpus GROUP BY language"""

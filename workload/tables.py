@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.functions import text
-from scribelake.session import scratch_path, spread
+from scribelake.session import scratch_path
 
 WORDS = 30
 VALIDATION_SOURCES = ("src0", "src1")
@@ -31,6 +31,11 @@ VALIDATION_SOURCES = ("src0", "src1")
 LONG_TEXTS = ("documents", "conversations")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of the given single-file tables out to all cores."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(scan) if name in LONG_TEXTS else scan
@@ -150,6 +155,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             F.concat(F.lit("clips/"), _document_id(), F.lit(".wav")).alias("path"),
             F.when(F.col("source") != "src7", F.encode("text", "UTF-8")).alias("bytes"),
+            F.coalesce(F.col("source") != "src7", F.lit(False)).alias("bytes_present"),
         ).alias("audio"),
         F.lower("text").alias("transcription"),
         F.col("lang").alias("language"),
@@ -157,9 +163,11 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = read(spark, sf_dir, "pages").select(
         _page_id().alias("id"),
-        F.struct(F.col("url").alias("path"), F.lit(None).cast("binary").alias("bytes")).alias(
-            "audio"
-        ),
+        F.struct(
+            F.col("url").alias("path"),
+            F.lit(None).cast("binary").alias("bytes"),
+            F.lit(False).alias("bytes_present"),
+        ).alias("audio"),
         F.lit(None).cast("string").alias("transcription"),
         F.regexp_extract("url", "/([a-z][a-z])/", 1).alias("language"),
         F.lit("test").alias("split"),
@@ -198,10 +206,13 @@ def tokens_sql(normalised: str) -> str:
 
 
 def chars_distance_sql(a: str, b: str) -> str:
-    """The oracle's function counts bytes: map the accents of the data to spare capitals."""
+    """The oracle's function counts bytes: map the accents of the data to control characters."""
+    accents = "äöüßçèéêíñóÄÖÜÇÈÉÊÍÑÓ"
+    spare = [*range(1, 9), *range(14, 14 + len(accents) - 8)]
+    to = " || ".join(f"chr({c})" for c in spare)
 
     def one_byte(e: str) -> str:
-        return f"translate({e}, 'äöüßçèéêíñó', 'ABCDEFGHIJK')"
+        return f"translate({e}, '{accents}', {to})"
 
     return f"levenshtein({one_byte(a)}, {one_byte(b)})"
 
