@@ -39,7 +39,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 LONG_WORD = 64
 MAX_VOCABULARY_BYTES = 64 << 20
 _WORDS_AT_ONCE = 8192
-_CHARS_AT_ONCE = 1 << 24
+_CHARS_AT_ONCE = 1 << 23
 _RUNS_AT_ONCE = 1 << 18
 # fixed value: how the vocabulary's pre-tokeniser cuts words
 _WORDS = regex.compile(
@@ -251,7 +251,7 @@ class Vocabulary:
         )
         # the runs of all texts: a head, then its pieces
         places = np.arange(len(texts)) + np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        runs = np.empty(len(texts) + len(coded), dtype=np.int64)
+        runs = np.empty(len(texts) + len(coded), dtype=np.int32)
         is_piece = np.ones(len(runs), dtype=bool)
         is_piece[places] = False
         runs[places] = len(coded.dictionary) + np.arange(len(texts))

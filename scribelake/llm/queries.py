@@ -46,7 +46,7 @@ def bucket(id_col: str, parts: int) -> Column:
 def prepare(spark: SparkSession) -> None:
     """The library's settings; whole documents go to Python, so fewer rows at a time."""
     apply_settings(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
