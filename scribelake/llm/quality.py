@@ -165,7 +165,8 @@ def fit(
     wanted = positives.withColumn("positive", F.lit(True)).unionByName(
         unlabelled.withColumn("positive", F.lit(False))
     )
-    rows = texts.join(wanted, "doc_id").select("positive", "text")
+    # at most twice ``sample`` ids and flags, whatever the size of the corpus
+    rows = texts.join(F.broadcast(wanted), "doc_id").select("positive", "text")
     table = rows.mapInArrow(_property_rows, "positive boolean, row array<double>").toArrow()
     flat = table.column("row").combine_chunks()
     matrix = flat.flatten().to_numpy().reshape(-1, N_PROPERTIES) if len(table) else np.empty((0, N_PROPERTIES))
