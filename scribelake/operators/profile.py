@@ -163,6 +163,26 @@ def text_checks(train: DataFrame, column: str = "transcription") -> DataFrame:
     )
 
 
+# what a histogram has to hold for the row checks; character lengths are there anyway
+CHECK_FEATURES = ("raw_empty", "digit_count", "quote_count")
+
+
+def row_checks(histogram: DataFrame) -> DataFrame:
+    """The transcript checks that concern single rows, from :func:`feature_histogram`."""
+
+    def rows_where(feature: str, predicate: Column, name: str) -> Column:
+        chosen = (F.col("feature") == feature) & predicate
+        return F.coalesce(F.sum(F.when(chosen, F.col("n"))), F.lit(0)).alias(name)
+
+    value = F.col("value")
+    return histogram.agg(
+        rows_where("raw_empty", value > 0, "empty_train_transcriptions"),
+        rows_where("char_len", value == 0, "normalized_empty_train_transcriptions"),
+        rows_where("digit_count", value > 0, "transcriptions_with_digits"),
+        rows_where("quote_count", value > 0, "transcriptions_with_quotes"),
+    )
+
+
 def as_flags(row: DataFrame) -> DataFrame:
     """Turn a one-row table of checks into ``check, value, severity`` rows."""
     entries = F.array(

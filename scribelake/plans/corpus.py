@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions.roles import canonical, need_columns
 from scribelake.operators import profile, vocabulary
+from scribelake.operators.ids import repeat_count
 from scribelake.session import materialise
 from scribelake.sources.fingerprint import fingerprint
 from scribelake.sources.splits import LABEL_COLUMNS
@@ -29,18 +30,25 @@ def corpus_profile(
 ) -> dict[str, DataFrame]:
     """The report's tables by name.
 
-    The transcripts are read three times in all: once for the length histogram
-    (quantiles, split and language counts), once for token counts (drift and top
-    tokens), once for the text checks.  The first two results are far smaller than the
-    corpus and are written to shared scratch storage, so later tables start from them
-    and survive lost executors.
+    The transcripts are normalised twice: once for the histogram (quantiles, split and
+    language counts, checks of single rows), once for token counts (drift and top
+    tokens).  Repeated transcripts take a look at the raw texts' digests.  The first two
+    results are far smaller than the corpus and are written to shared scratch storage,
+    so later tables start from them and survive lost executors.
     """
     need_columns(train.columns, LABEL_COLUMNS, "train table")
     test_ids, template_ids = canonical(test), canonical(template)
 
-    features = profile.text_features(train.select(*_KEYS, "transcription"))
-    histogram = materialise(
-        profile.feature_histogram(features, _KEYS, profile.QUANTILE_FEATURES), "histogram"
+    raw = F.coalesce("transcription", F.lit(""))
+    features = profile.text_features(train.select(*_KEYS, "transcription")).withColumn(
+        "raw_empty", (raw == "").cast("int")
+    )
+    names = (*profile.QUANTILE_FEATURES, *profile.CHECK_FEATURES)
+    histogram = materialise(profile.feature_histogram(features, _KEYS, names), "histogram")
+    checks = (
+        profile.id_checks(train, test_ids, template_ids),
+        profile.row_checks(histogram),
+        repeat_count(train, "transcription", "repeated_transcriptions"),
     )
     # every row is counted once under each feature
     sizes = histogram.where(F.col("feature") == profile.QUANTILE_FEATURES[0]).withColumnRenamed(
@@ -63,7 +71,7 @@ def corpus_profile(
         "test_id_prefix_counts": profile.prefix_counts(test_ids),
         "transcript_length_by_language_split": profile.quantiles_from_histogram(histogram, _KEYS),
         "validation_oov_by_language": _drift(tokens, sizes),
-        "quality_flags": profile.quality_flags(train, test_ids, template_ids),
+        "quality_flags": reduce(DataFrame.unionByName, map(profile.as_flags, checks)),
         "top_tokens": _top(tokens, top_n),
     }
     if files:
