@@ -54,6 +54,18 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit("### "), escape_role(role), F.lit(": "))
 
 
+def _piece(kind: Column) -> Column:
+    """A turn as it stands in a window; kind is 0 for the system turn, 1 repeated, 2 new."""
+    return F.struct(
+        F.col("place"),
+        kind.alias("kind"),
+        _head(F.col("role")).alias("head"),
+        escape(F.col("text")).alias("body"),
+        (F.col("role") == "assistant").alias("learned"),
+        F.col("tokens"),
+    )
+
+
 def _turns(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     return conversations.select(
         F.col(f"`{conv}`").alias("conv_id"),
@@ -87,11 +99,11 @@ def format_windows(
     placed = (
         turns.withColumn("place", F.row_number().over(order))
         .withColumn("is_system", (F.col("place") == 1) & (F.col("role") == "system"))
-        .withColumn("system_tokens", F.max(F.when(F.col("is_system"), F.col("tokens"))).over(so_far))
+        .withColumn("system", F.max(F.when(F.col("is_system"), _piece(F.lit(0)))).over(so_far))
         .withColumn("own", F.when(F.col("is_system"), 0).otherwise(F.col("tokens")))
         .withColumn("before", F.sum("own").over(so_far) - F.col("own"))
     )
-    room = F.lit(budget - history_tokens) - F.coalesce(F.col("system_tokens"), F.lit(0))
+    room = F.lit(budget - history_tokens) - F.coalesce(F.col("system.tokens"), F.lit(0))
     half = F.greatest(F.floor(room / 2), F.lit(1))
     halves = F.floor(F.col("before") / half) * 2 + F.when(F.col("own") > half, 1).otherwise(0)
     cut = placed.withColumn("half", F.when(~F.col("is_system"), halves))
@@ -99,36 +111,33 @@ def format_windows(
     cut = cut.withColumn("opens", opened.cast("int"))
     cut = cut.withColumn("window", F.sum("opens").over(so_far))
 
+    no_system = F.lit(None).cast(cut.schema["system"].dataType).alias("system")
+
     # a turn is history of the windows that the next turns open, while tokens last
     def later(distance: int) -> Column:
         opens = F.lead("opens", distance).over(order) == 1
         near = F.lead("before", distance).over(order) - F.col("before") <= history_tokens
-        seen = F.struct(F.lead("window", distance).over(order).alias("window"), F.lit(1).alias("kind"))
+        window = F.lead("window", distance).over(order)
+        seen = F.struct(window.alias("window"), F.lit(1).alias("kind"), no_system)
         return F.when(opens & near & ~F.col("is_system"), seen)
 
-    own = F.struct(F.col("window"), F.when(F.col("is_system"), 0).otherwise(2).alias("kind"))
+    # the turn that opens a window brings the system turn along
+    own = F.struct(
+        F.col("window"),
+        F.when(F.col("is_system"), 0).otherwise(2).alias("kind"),
+        F.when(F.col("opens") == 1, F.col("system")).alias("system"),
+    )
     cut = cut.withColumn("seen", F.array(own, *(later(d) for d in range(1, history_turns + 1))))
     seen = F.explode(F.array_compact("seen")).alias("seen")
     shown = cut.select("conv_id", "place", "role", "text", "tokens", seen)
-    head, body = _head(F.col("role")), escape(F.col("text"))
-    piece = F.struct(
-        F.col("place"),
-        F.col("seen.kind").alias("kind"),
-        head.alias("head"),
-        body.alias("body"),
-        (F.col("role") == "assistant").alias("learned"),
-        F.col("tokens"),
-    )
+    piece = _piece(F.col("seen.kind"))
     windows = (
-        shown.select("conv_id", F.col("seen.window").alias("window"), piece.alias("piece"))
+        shown.select(
+            "conv_id", F.col("seen.window").alias("window"), piece.alias("piece"), F.col("seen.system")
+        )
         .groupBy("conv_id", "window")
-        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    )
-    system = (
-        windows.where("window = 0 AND pieces[0].kind = 0")
-        .select(F.col("conv_id").alias("system_id"), F.col("pieces")[0].alias("system"))
+        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"), F.max("system").alias("system"))
     )
-    windows = windows.join(system, F.col("conv_id").eqNullSafe(F.col("system_id")), "left").drop("system_id")
     repeat_system = F.col("system").isNotNull() & (F.col("window") > 0)
     pieces = F.when(repeat_system, F.concat(F.array("system"), F.col("pieces"))).otherwise(F.col("pieces"))
     repeated = F.size(F.filter("pieces", lambda p: p["kind"] == 1)) + repeat_system.cast("int")
