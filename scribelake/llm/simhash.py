@@ -299,7 +299,9 @@ def keep_one(
     labels = near_duplicates(docs, id_col, text_col, shingle, bits)
     stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     drop = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(stays).where("NOT stays")
+    # stored, so that Spark knows how few ids go before it decides how to join
+    dropped = materialise(drop.select("doc_id"), "dropped")
     kept = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct("*").alias("row")).join(
-        drop.select("doc_id"), "doc_id", "left_anti"
+        dropped, "doc_id", "left_anti"
     )
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
