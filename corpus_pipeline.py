@@ -48,7 +48,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of what they decode to."""
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text"), path)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), path)
     return coded.select(
         "doc_id",
         "source",

@@ -24,7 +24,7 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -46,6 +46,7 @@ _WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 _INNER_SPACE = re.compile(r" (?<=\s\s)(?!\S)")
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
 _NO_RANK = 1 << 60
 
 
@@ -267,17 +268,45 @@ class Vocabulary:
         return ids, run_ends[np.append(places[1:], len(runs)) - 1]
 
 
-def portions(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts, NULL as empty, in lists of about ``_CHARS_AT_ONCE`` characters."""
-    some, size = [], 0
+def segments(text: str) -> Iterator[str]:
+    """A text in pieces of little over ``_CHARS_AT_ONCE``, cut where words are cut anyway.
+
+    That is before a space between two characters that are none; where a text has no such
+    place it stays whole.
+    """
+    at = 0
+    while len(text) - at > _CHARS_AT_ONCE and (cut := _SEAM.search(text, at + _CHARS_AT_ONCE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def encode_all(vocabulary: Vocabulary, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text, NULL as empty, worked on some millions of characters at a time."""
+    ids, ends, some, last, size, total = [], [], [], [], 0, 0
+    spaced = any(c.isspace() for token in vocabulary.special for c in token)
+
+    def flush() -> int:
+        flat, stops = vocabulary.encode(some)
+        ids.append(flat)
+        ends.append(stops[np.array(last, dtype=np.int64)] + total)
+        return total + len(flat)
+
     for text in texts:
-        some.append(text.as_py() or "")
-        size += len(some[-1])
-        if size >= _CHARS_AT_ONCE:
-            yield some
-            some, size = [], 0
+        text = text.as_py() or ""
+        pieces = [text] if spaced else list(segments(text))
+        for k, piece in enumerate(pieces, 1):
+            some.append(piece)
+            size += len(piece)
+            if k == len(pieces):
+                last.append(len(some) - 1)
+            if size >= _CHARS_AT_ONCE:
+                total, some, last, size = flush(), [], [], 0
     if some:
-        yield some
+        flush()
+    offsets = np.concatenate([[0], *ends]).astype(np.int32)
+    values = np.concatenate([np.empty(0, dtype=np.int32), *ids])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -288,20 +317,28 @@ def read_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _with_column(df: DataFrame, column: StructField, source: str, make) -> DataFrame:
-    """``df`` with a further column made from the Arrow array of ``source``, batch by batch."""
-    place = df.columns.index(source)
-    kept = [k for k, c in enumerate(df.columns) if c != column.name]
+def decode_all(spelling: Spelling, ids: pa.ListArray) -> pa.StringArray:
+    return pa.array([spelling.decode(i.as_py() or []) for i in ids], type=pa.string())
+
+
+Make = Callable[[], Callable[[pa.Array], list[pa.Array]]]
+
+
+def _with_columns(df: DataFrame, source: str, columns: list[StructField], make: Make) -> DataFrame:
+    """``df`` with further columns made from the Arrow array of ``source``, batch by batch."""
+    place, names = df.columns.index(source), [c.name for c in columns]
+    kept = [k for k, c in enumerate(df.columns) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         for batch in batches:
-            columns = [batch.column(k) for k in kept]
-            names = [batch.schema.names[k] for k in kept]
-            yield pa.RecordBatch.from_arrays([*columns, made(batch.column(place))], names=[*names, column.name])
+            before = [batch.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*before, *made(batch.column(place))],
+                names=[*(batch.schema.names[k] for k in kept), *names],
+            )
 
-    fields = [df.schema.fields[k] for k in kept]
-    return df.mapInArrow(run, StructType([*fields, column]))
+    return df.mapInArrow(run, StructType([*(df.schema.fields[k] for k in kept), *columns]))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -310,35 +347,48 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     def make():
         vocabulary = Vocabulary(content.value)
+        return lambda texts: [encode_all(vocabulary, texts)]
 
-        def ids(texts: pa.Array) -> pa.Array:
-            made = []
-            for some in portions(texts):
-                flat, ends = vocabulary.encode(some)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-            return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
-
-        return ids
-
-    return _with_column(docs, StructField(ids_col, ArrayType(IntegerType())), text_col, make)
+    return _with_columns(docs, text_col, [StructField(ids_col, ArrayType(IntegerType()))], make)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of its ids."""
+    """``docs`` with the text of its ids; a column named ``text_col`` is replaced."""
     content = read_vocabulary(docs.sparkSession, path)
 
     def make():
         spelling = Spelling(content.value)
+        return lambda ids: [decode_all(spelling, ids)]
+
+    return _with_columns(docs, ids_col, [StructField(text_col, StringType())], make)
+
+
+def round_trip(
+    docs: DataFrame,
+    path: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    decoded_col: str = "decoded",
+) -> DataFrame:
+    """``docs`` with its ids and what these decode to, in one pass through the same workers."""
+    content = read_vocabulary(docs.sparkSession, path)
+
+    def make():
+        vocabulary, spelling = Vocabulary(content.value), Spelling(content.value)
 
-        def texts(ids: pa.Array) -> pa.Array:
-            return pa.array([spelling.decode(i.as_py() or []) for i in ids], type=pa.string())
+        def both(texts: pa.Array) -> list[pa.Array]:
+            ids = encode_all(vocabulary, texts)
+            return [ids, decode_all(spelling, ids)]
 
-        return texts
+        return both
 
-    return _with_column(docs, StructField(text_col, StringType()), ids_col, make)
+    columns = [
+        StructField(ids_col, ArrayType(IntegerType())),
+        StructField(decoded_col, StringType()),
+    ]
+    return _with_columns(docs, text_col, columns, make)
 
 
 def ids_text(ids: str) -> Column:
     """Decimal ids joined by commas."""
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    return F.array_join(F.col(ids).cast("array<string>"), ",")

@@ -115,7 +115,56 @@ def conversations_with_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.unionByName(made)
 
 
-@register("op4_chat_windows")
+_HALF_SQL = (
+    f"greatest(floor(({chat.BUDGET} - {chat.HISTORY_TOKENS} - coalesce(system_tokens, 0)) / 2.0), 1)"
+)
+# what escaping adds: one for each backslash, each </turn>, and each # between two others
+_ADDED_SQL = """(len({0}) - len(replace({0}, chr(92), '')) + (len({0}) - len(replace({0}, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#+'), lambda r: greatest(len(r) - 2, 0))), 0))"""
+
+OP4_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, k, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+sized AS (
+    SELECT *, row_number() OVER o AS place,
+           len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS tokens,
+           6 + len(role) + {_ADDED_SQL.format("role")} + (len(role) - len(replace(role, ':', '')))
+             + len(text) + {_ADDED_SQL.format("text")} + 8 AS chars
+    FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+placed AS (
+    SELECT *, place = 1 AND role = 'system' AS is_system,
+           max(CASE WHEN place = 1 AND role = 'system' THEN tokens END) OVER p AS system_tokens,
+           max(CASE WHEN place = 1 AND role = 'system' THEN chars END) OVER p AS system_chars,
+           CASE WHEN place = 1 AND role = 'system' THEN 0 ELSE tokens END AS own
+    FROM sized WINDOW p AS (PARTITION BY conv_id)),
+summed AS (
+    SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY place) - own AS before FROM placed),
+halved AS (
+    SELECT *, CASE WHEN NOT is_system THEN floor(before / {_HALF_SQL}) * 2
+                        + CASE WHEN own > {_HALF_SQL} THEN 1 ELSE 0 END END AS half
+    FROM summed),
+opened AS (
+    SELECT *, coalesce(half <> lag(half) OVER (PARTITION BY conv_id ORDER BY place), false) AS opens
+    FROM halved),
+-- a window that a turn opens repeats the system turn and what of the two turns before is near
+repeated AS (
+    SELECT *, CASE WHEN opens THEN coalesce(system_chars, 0)
+             + CASE WHEN before - lag(before) OVER w <= {chat.HISTORY_TOKENS} AND NOT lag(is_system) OVER w
+                    THEN lag(chars) OVER w ELSE 0 END
+             + CASE WHEN before - lag(before, 2) OVER w <= {chat.HISTORY_TOKENS} AND NOT lag(is_system, 2) OVER w
+                    THEN lag(chars, 2) OVER w ELSE 0 END
+             ELSE 0 END AS again
+    FROM opened WINDOW w AS (PARTITION BY conv_id ORDER BY place))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + again)::BIGINT AS formatted_chars
+FROM repeated GROUP BY conv_id"""
+
+
+@register("op4_chat_windows", OP4_SQL)
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the formatted windows of every conversation say when they are read back."""
     windows = chat.read_windows(chat.format_windows(conversations_with_control(spark, sf_dir)))
@@ -224,8 +273,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of all documents and what they decode to, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
-    return coded.select(
+    return bpe.round_trip(docs, VOCABULARY).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text("ids").cast("binary"), 256).alias("ids_sha256"),

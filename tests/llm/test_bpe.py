@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,7 @@ def test_whole_table_round_trip(documents, library):
     for r in coded:
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == (r.text or "")
+    assert sorted(bpe.round_trip(documents, PATH).collect()) == sorted(coded)
 
 
 def test_portions_do_not_matter(documents, monkeypatch):
@@ -83,6 +85,15 @@ def test_portions_do_not_matter(documents, monkeypatch):
     assert {r.doc_id: r.ids for r in bpe.encode(documents, PATH).collect()} == want
 
 
+def test_long_texts_are_cut_at_word_ends(vocabulary, library, monkeypatch):
+    rnd = random.Random(5)
+    monkeypatch.setattr(bpe, "_CHARS_AT_ONCE", 40)
+    texts = ["".join(rnd.choice(PIECES + ["word", " of", " it"]) for _ in range(n)) for n in range(120)]
+    texts += ["x" * 500, " " * 200, "a" + "  b" * 100, None, "a b " * 40]
+    got = bpe.encode_all(vocabulary, pa.array(texts)).to_pylist()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_odd_rows(spark, odd_documents, no_documents, library):
     rows = bpe.decode(bpe.encode(odd_documents, PATH), PATH).collect()
     assert [r.decoded for r in rows] == [r.text or "" for r in rows]

@@ -59,3 +59,13 @@ def test_pipeline_takes_an_empty_table(spark, no_documents, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_pipeline_takes_odd_rows_and_clashing_names(spark, odd_documents, sf_dir):
+    docs = odd_documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        docs = kept
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == docs.count()
