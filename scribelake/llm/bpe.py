@@ -45,6 +45,8 @@ _RUNS_AT_ONCE = 1 << 18
 _WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+# letters, then ASCII marks without the apostrophe, which begins contractions
+_LETTERS_AND_MARKS = r"^(?P<letters>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 _INNER_SPACE = re.compile(r" (?<=\s\s)(?!\S)")
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 _NO_RANK = 1 << 60
@@ -80,6 +82,28 @@ class Ragged(NamedTuple):
     count: np.ndarray
 
 
+def _both(a: Ragged, b: Ragged) -> Ragged:
+    """The runs of ``a``, then those of ``b``."""
+    return Ragged(
+        np.concatenate([a.flat, b.flat]),
+        np.concatenate([a.first, b.first + len(a.flat)]),
+        np.concatenate([a.count, b.count]),
+    )
+
+
+def _assemble(table: Ragged, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen runs one after the other, and where each of them ends."""
+    counts = table.count[runs]
+    ends = np.cumsum(counts)
+    ids = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+    for at in range(0, len(runs), _RUNS_AT_ONCE):
+        part = slice(at, at + _RUNS_AT_ONCE)
+        n, begin = counts[part], int(ends[at] - counts[at])
+        within = np.arange(n.sum()) - np.repeat(ends[part] - n - begin, n)
+        ids[begin : begin + len(within)] = table.flat[np.repeat(table.first[runs[part]], n) + within]
+    return ids, ends
+
+
 class Vocabulary:
     """The merges of a vocabulary file."""
 
@@ -214,18 +238,41 @@ class Vocabulary:
         # special tokens stand at the odd places of a split
         return [w for k, s in parts for w in ([self.special[s]] if k % 2 else _WORDS.findall(s))]
 
+    def _encode_letters(self, words: pa.StringArray) -> Ragged:
+        """The ids of words of letters, each with a space before it."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        if not len(distinct):
+            return Ragged(np.empty(0, dtype=np.int32), *np.empty((2, 0), dtype=np.int64))
+        ends = np.frombuffer(distinct.buffers()[1], dtype=np.int32)[: len(distinct) + 1].astype(np.int64)
+        data = np.frombuffer(distinct.buffers()[2], dtype=np.uint8)
+        found = self._encode_spelt(data, ends[:-1], np.diff(ends), True)
+        at = coded.indices.to_numpy()
+        return Ragged(found.flat, found.first[at], found.count[at])
+
     def _encode_pieces(self, pieces: pa.StringArray) -> Ragged:
-        """The ids of distinct pieces, each with a space before it."""
-        letters = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
-        plain = pieces.filter(pa.array(letters))
-        ends = np.frombuffer(plain.buffers()[1], dtype=np.int32)[plain.offset :][: len(plain) + 1].astype(np.int64)
-        data = np.frombuffer(plain.buffers()[2] or b"", dtype=np.uint8)
-        one = self._encode_spelt(data, ends[:-1], np.diff(ends), True)
-        rest = self._encode_cut([_WORDS.findall(" " + p) for p in pieces.filter(pa.array(~letters)).to_pylist()])
+        """The ids of distinct pieces, each with a space before it.
+
+        Most are letters, or letters and then marks other than apostrophes, which are words
+        of their own; only what is left has to be cut by the general rule.
+        """
+        parts = pc.extract_regex(pieces, _LETTERS_AND_MARKS)
+        words, marks = pc.struct_field(parts, "letters"), pc.struct_field(parts, "marks")
+        fits = pc.fill_null(pc.utf8_is_alpha(words), False).to_numpy(zero_copy_only=False)
+        chosen = pa.array(fits)
+        word_ids = self._encode_letters(words.filter(chosen))
+        marked = marks.filter(chosen).dictionary_encode()
+        mark_ids = self._encode_cut([_WORDS.findall(m) for m in marked.dictionary.to_pylist()])
+        runs = np.stack([np.arange(fits.sum()), fits.sum() + marked.indices.to_numpy()], axis=1).ravel()
+        flat, ends = _assemble(_both(word_ids, mark_ids), runs)
+        ends = np.concatenate([[0], ends[1::2]])
+        one = Ragged(flat, ends[:-1], np.diff(ends))
+        rest = self._encode_cut([_WORDS.findall(" " + p) for p in pieces.filter(pa.array(~fits)).to_pylist()])
+        table = _both(one, rest)
+        order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
         first, count = np.empty(len(pieces), dtype=np.int64), np.empty(len(pieces), dtype=np.int64)
-        first[letters], count[letters] = one.first, one.count
-        first[~letters], count[~letters] = rest.first + len(one.flat), rest.count
-        return Ragged(np.concatenate([one.flat, rest.flat]), first, count)
+        first[order], count[order] = table.first, table.count
+        return Ragged(table.flat, first, count)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, one after the other, and where each text ends.
@@ -245,11 +292,7 @@ class Vocabulary:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
         coded = split.flatten().dictionary_encode()
         piece_ids = self._encode_pieces(coded.dictionary)
-        table = Ragged(
-            np.concatenate([piece_ids.flat, head_ids.flat]),
-            np.concatenate([piece_ids.first, head_ids.first + len(piece_ids.flat)]),
-            np.concatenate([piece_ids.count, head_ids.count]),
-        )
+        table = _both(piece_ids, head_ids)
         # the runs of all texts: a head, then its pieces
         places = np.arange(len(texts)) + np.concatenate([[0], ends[:-1]]).astype(np.int64)
         runs = np.empty(len(texts) + len(coded), dtype=np.int32)
@@ -257,14 +300,7 @@ class Vocabulary:
         is_piece[places] = False
         runs[places] = len(coded.dictionary) + np.arange(len(texts))
         runs[is_piece] = coded.indices.to_numpy()
-        counts = table.count[runs]
-        run_ends = np.cumsum(counts)
-        ids = np.empty(int(run_ends[-1]), dtype=np.int32)
-        for at in range(0, len(runs), _RUNS_AT_ONCE):
-            part = slice(at, at + _RUNS_AT_ONCE)
-            n, begin = counts[part], int(run_ends[at] - counts[at])
-            within = np.arange(n.sum()) - np.repeat(run_ends[part] - n - begin, n)
-            ids[begin : begin + len(within)] = table.flat[np.repeat(table.first[runs[part]], n) + within]
+        ids, run_ends = _assemble(table, runs)
         return ids, run_ends[np.append(places[1:], len(runs)) - 1]
 
 
