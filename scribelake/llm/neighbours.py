@@ -2,15 +2,17 @@
 
 Vectors are brought to length one and projected, once per curve, on a few random
 orthogonal directions; a random shift and a grid turn the projection into a place on a
-Hilbert curve.  Spark sorts all curves' places by range and cuts each curve into blocks of ``BLOCK`` rows.  A query looks at the blocks around its own on
+Hilbert curve.  The grid is as fine as single precision, so that vectors crowded about one
+point are still ordered by position.  Spark sorts all curves' places by range and cuts each
+curve into blocks of ``BLOCK`` rows.  A query looks at the blocks around its own on
 every curve, as many as make up ``window`` of all rows on either side; each block yields
 its nearest, and these are merged per query.  Nearness is the cosine in double precision
-of the original vectors.
+of the vectors, each divided by its largest component, so that multiples tie.
 
-Equal vectors are one entry of the index that carries its smallest ids, as many as can be
-among the answers; so a vector that a third of all rows share is one row of the curves and
-one query.  Rows of a block stream past its queries in sorted order, so a task holds one
-block however many queries there are.
+Vectors of one direction are one entry of the index that carries its smallest ids, as many
+as can be among the answers; so a vector that a third of all rows share, or multiples of
+it, is one row of the curves and one query.  Rows of a block stream past its queries in
+sorted order, so a task holds one block however many queries there are.
 
 How near a neighbour lies on a curve depends on the data.  Where vectors have no structure
 at all, as random ones in many dimensions, any curve keeps neighbours only a little closer
@@ -18,7 +20,7 @@ than chance, so the window is a share of the rows, not a number of them.
 
 Defined results: rows whose vector is NULL, of another length than ``dim``, all zero, or
 has a NULL or non-finite component take no part, nor do rows without id.  Rows that repeat
-id and vector count once.  Ties go to the smaller id.  With fewer candidates than ``k`` all
+id and direction count once.  Ties go to the smaller id.  With fewer candidates than ``k`` all
 are returned; a query is never its own answer.  Other columns are not read.
 """
 
@@ -37,7 +39,9 @@ from scribelake.session import materialise
 CURVES = 16
 WINDOW = 0.03
 BLOCK = 1024
-DIRECTIONS, BITS = 12, 5
+DIRECTIONS, BITS = 12, 30
+_NOISE = 1e-9  # far more than a matrix product differs from a single pair's
+_PAIRS = 1 << 14
 _REACH = 3.5  # grids end at so many standard deviations of a random direction
 
 
@@ -48,14 +52,21 @@ def _usable(vector: Column, dim: int) -> Column:
     return (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _direction(vector: Column) -> Column:
+    """The vector by its largest component: alike, to the last digit, for all its multiples."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    # repeated beside the vector, as a lambda would look for it anew at each component
+    return F.zip_with(vector, F.array_repeat(largest, F.size(vector)), lambda x, m: x / m)
+
+
 def _orders(curve: int, dim: int, directions: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(curve)
     rotation = np.linalg.qr(random.normal(size=(dim, dim)))[0][:, :directions]
     return rotation, random.uniform(0, 1, directions)
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The place on the Hilbert curve of each row of cell numbers (Skilling, 2004)."""
+def _digits(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Row, level and dimension: the bits of each place on the Hilbert curve (Skilling, 2004)."""
     x = cells.T.astype(np.int64).copy()
     n, q = len(x), 1 << (bits - 1)
     while q > 1:
@@ -73,19 +84,33 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
         flip = np.where((x[n - 1] & q) != 0, flip ^ (q - 1), flip)
         q >>= 1
     x ^= flip
-    place = np.zeros_like(x[0])
-    for bit in range(bits - 1, -1, -1):
-        for i in range(n):
-            place = (place << 1) | ((x[i] >> bit) & 1)
+    levels = np.arange(bits - 1, -1, -1)
+    return ((x.T[:, None, :] >> levels[:, None]) & 1).astype(np.uint8).reshape(len(cells), -1)
+
+
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place on the Hilbert curve of each row of cell numbers, as one number."""
+    place = np.zeros(len(cells), dtype=np.int64)
+    for digit in _digits(cells, bits).T:
+        place = (place << 1) | digit
     return place
 
 
+def _places(cells: np.ndarray, bits: int) -> pa.Array:
+    """The same as bytes, which sort like the numbers and may be of any length."""
+    packed = np.packbits(_digits(cells, bits), axis=1)
+    ends = np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1]
+    return pa.Array.from_buffers(
+        pa.binary(), len(packed), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())]
+    )
+
+
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _distinct(rows: DataFrame, k: int) -> DataFrame:
-    """(entry, vector, ids): equal vectors as one, with up to ``k + 1`` smallest ids.
+    """(entry, vector, ids): equal directions as one, with up to ``k + 1`` smallest ids.
 
     The ranking is limited in each task before rows meet, so a common vector is no load.
     """
@@ -106,7 +131,6 @@ def _order(entries: DataFrame, dim: int, curves: int) -> DataFrame:
         drawn = [_orders(c, dim, directions) for c in range(curves)]
         for batch in batches:
             unit = _matrix(batch.column(1), dim)
-            unit /= np.abs(unit).max(axis=1, keepdims=True)
             unit *= np.sqrt(dim) / np.linalg.norm(unit, axis=1, keepdims=True)
             for c, (rotation, shift) in enumerate(drawn):
                 grid = ((unit @ rotation + _REACH + shift) / (2 * _REACH + 1)) * (1 << BITS)
@@ -114,13 +138,13 @@ def _order(entries: DataFrame, dim: int, curves: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(unit), c, dtype=np.int32)),
-                        pa.array(hilbert(cells, BITS)),
+                        _places(cells, BITS),
                         batch.column(0).cast(pa.int64()),
                     ],
                     names=["curve", "place", "entry"],
                 )
 
-    placed = entries.select("entry", "vector").mapInArrow(places, "curve int, place long, entry long")
+    placed = entries.select("entry", "vector").mapInArrow(places, "curve int, place binary, entry long")
     # the sorted rows are written with their partition and row in it, which do not change then
     row = F.monotonically_increasing_id()
     in_order = materialise(
@@ -172,11 +196,19 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Itera
                 near = query @ vectors.T / (length[:, None] * norms)
                 # an entry of several ids fills k places alone, so k + 1 entries are enough
                 few = min(k + 1, near.shape[1])
-                best = np.argpartition(-near, few - 1, axis=1)[:, :few]
-                line = np.repeat(np.arange(len(query)), few)
-                found = best.ravel()
+                least = np.partition(near, -few, axis=1)[:, -few]
+                line, found = np.nonzero(near >= least[:, None] - _NOISE)
                 # as one would compute a single pair, so that blocks agree to the last digit
-                score = np.einsum("ij,ij->i", query[line], vectors[found]) / (length[line] * norms[found])
+                score = np.concatenate([
+                    np.einsum("ij,ij->i", query[a], vectors[b]) / (length[a] * norms[b])
+                    for a, b in ((line[m : m + _PAIRS], found[m : m + _PAIRS]) for m in range(0, len(line), _PAIRS))
+                ])
+                # ties go to the smaller id here as well
+                ranked = np.lexsort((names[found], -score, line))
+                line, found, score = line[ranked], found[ranked], score[ranked]
+                begins = np.searchsorted(line, np.arange(len(query)))
+                kept = np.arange(len(line)) - begins[line] < few
+                line, found, score = line[kept], found[kept], score[kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name[line]), pa.array(names[found]), pa.array(score)],
                     names=["query", "entry", "score"],
@@ -199,7 +231,7 @@ def nearest(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{vector_col}`").cast("array<double>").alias("vector"),
     ).where(F.col("id").isNotNull() & _usable(F.col("vector"), dim))
-    usable = usable.distinct()
+    usable = usable.select("id", _direction(F.col("vector")).alias("vector")).distinct()
     entries = materialise(_distinct(usable, k), "entries")
     asking = usable.where(is_query).withColumnRenamed("id", "query_id")
     # which entry each query is; entries without a query are only looked at

@@ -67,3 +67,53 @@ def test_hilbert_curves_visit_every_cell_by_single_steps():
         place = neighbours.hilbert(cells, bits)
         assert sorted(place) == list(range(side**n))
         assert (np.abs(np.diff(cells[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def nearest_ids(spark, ids, vectors, asks, **options):
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(frame, asks, dim=vectors.shape[1], **options).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+@pytest.mark.parametrize("spread", [1e-2, 1e-5])
+def test_recall_with_a_third_of_all_rows_about_one_centre(spark, spread):
+    rnd = np.random.default_rng(3)
+    vectors = rnd.normal(size=(6000, 16))
+    vectors[::3] = vectors[0] + spread * rnd.normal(size=(2000, 16))
+    vectors[::6] *= 3.7  # scaled as well
+    ids = rnd.permutation(6000)
+    crowd = set(ids[::3])
+    got = nearest_ids(spark, ids, vectors, F.col("id") % 20 == 0, block=32)
+    want = brute(ids, vectors, np.flatnonzero(ids % 20 == 0), 5)
+    # as brute() takes cosines for ties that differ by less than 1e-12, by distance
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in want:
+        gap = np.square(unit - unit[np.flatnonzero(ids == q)[0]]).sum(axis=1)
+        want[q] = [i for i in ids[np.argsort(gap)] if i != q][:5]
+    asked = [q for q in want if q in crowd]
+    hits = sum(len(set(got[q]) & set(want[q])) for q in asked)
+    assert len(asked) > 50 and hits / (5 * len(asked)) >= 0.9
+
+
+def test_multiples_of_a_vector_are_ties(spark):
+    rnd = np.random.default_rng(4)
+    vectors = rnd.normal(size=(400, 8))
+    vectors[100:300] = np.outer(np.arange(1, 201), np.round(vectors[100] * 64))
+    ids = rnd.permutation(400)
+    got = nearest_ids(spark, ids, vectors, F.lit(True), curves=2, block=16, window=1.0)
+    group = sorted(ids[100:300])
+    for q in group:
+        assert got[q] == [i for i in group if i != q][:5]
+
+
+def test_a_block_with_many_equal_cosines_yields_the_smallest_ids(spark):
+    vectors = np.vstack([np.eye(40), -np.eye(40)])
+    ids = np.random.default_rng(5).permutation(80)
+    got = nearest_ids(spark, ids, vectors, F.lit(True), curves=1, block=128, window=1.0)
+    for q, found in got.items():
+        opposite = ids[(np.flatnonzero(ids == q)[0] + 40) % 80]
+        assert found == [i for i in range(80) if i not in (q, opposite)][:5]
