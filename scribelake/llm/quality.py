@@ -10,8 +10,10 @@ below zero, a step is taken that raises it again.  The prior is estimated from t
 labels: the share of positives among all labelled rows that may be learned from.
 
 The fit uses at most ``SAMPLE`` positives and as many unlabelled texts, those with the
-smallest hash of their id; this bound, a parameter, is the only sample.  Labels are
-counted in full and every text is scored as a whole.
+smallest hash of their id; this bound, a parameter, is the only sample.  It counts ids: of
+an id's rows the one with the smallest hash of its text is learned from, so that repeats
+neither weigh more nor reach the driver.  Labels are counted in full and every text is
+scored as a whole.
 
 Defined results: NULL text is the empty text, which is scored like any other; without a
 positive or an unlabelled example every score is the prior, and without labels 0.5.
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -127,11 +129,12 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Mode
 
 def _property_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [properties(t.as_py() or "") for t in batch.column(1)]
+        rows = [properties(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
         flat = pa.array(np.concatenate(rows) if rows else np.empty(0))
         ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * N_PROPERTIES)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["positive", "row"]
+            [*batch.columns[:-1], pa.ListArray.from_arrays(ends, flat)],
+            names=[*batch.schema.names[:-1], "row"],
         )
 
 
@@ -161,13 +164,20 @@ def fit(
         return ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
 
     positives = chosen(marked.where("label = 1").join(texts.select("doc_id").distinct(), "doc_id"), 1)
-    unlabelled = chosen(texts, 2)
+    unlabelled = chosen(texts.select("doc_id").distinct(), 2)
     wanted = positives.withColumn("positive", F.lit(True)).unionByName(
         unlabelled.withColumn("positive", F.lit(False))
     )
     # at most twice ``sample`` ids and flags, whatever the size of the corpus
-    rows = texts.join(F.broadcast(wanted), "doc_id").select("positive", "text")
-    table = rows.mapInArrow(_property_rows, "positive boolean, row array<double>").toArrow()
+    rows = texts.join(F.broadcast(wanted), "doc_id").select(
+        "doc_id", "positive", F.xxhash64("text").alias("hash"), "text"
+    )
+    schema = StructType([*rows.schema.fields[:-1], StructField("row", ArrayType(DoubleType()))])
+    # one row an id and flag, made one in each task first
+    each = rows.mapInArrow(_property_rows, schema).groupBy("doc_id", "positive").agg(
+        F.min(F.struct("hash", "row"))["row"].alias("row")
+    )
+    table = each.select("positive", "row").toArrow()
     flat = table.column("row").combine_chunks()
     matrix = flat.flatten().to_numpy().reshape(-1, N_PROPERTIES) if len(table) else np.empty((0, N_PROPERTIES))
     is_positive = table.column("positive").to_numpy().astype(bool)

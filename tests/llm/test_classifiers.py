@@ -106,3 +106,21 @@ def test_quality_of_odd_rows(spark, odd_documents, no_documents):
     assert quality.predict(no_documents, model).count() == 0
     blank = quality.fit(no_documents, labels.limit(0), F.lit(True))
     assert {r.score for r in quality.predict(odd_documents, blank).collect()} == {0.5}
+
+
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    rows = [(i, f"Good text, number {i}.", 1) if i % 3 else (i, f"bad {i} " * 3, None) for i in range(90)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    # a positive and an unlabelled id that hold most rows
+    often = docs.where("doc_id IN (1, 3)").crossJoin(spark.range(200).select()).unionByName(docs)
+    sizes = []
+    minimise = quality.minimise
+    monkeypatch.setattr(quality, "minimise", lambda p, u, prior: sizes.append((len(p), len(u))) or minimise(p, u, prior))
+    a, b = (quality.fit(x, labels, F.lit(True)) for x in (docs, often))
+    assert sizes == [(60, 90)] * 2
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+    # differing texts of an id: one of them, whatever the order of the rows
+    versions = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" x y"))))
+    c, d = (quality.fit(x, labels, F.lit(True), sample=20) for x in (versions, versions.repartition(5, "text")))
+    assert sizes[2:] == [(20, 20)] * 2 and np.array_equal(c.weights, d.weights)
