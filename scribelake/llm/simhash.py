@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash, found through pivot distance tables.
+"""Near-duplicates by SimHash, found through bands and thinned by pivot distances.
 
 *Fingerprint.*  Texts are lower-cased in A-Z and cut into words at ASCII white space;
 every run of three words, repeats included, is hashed by XXH64 (seed 42), and a bit of
@@ -9,7 +9,8 @@ are hashed whole; those of none, NULL included, have fingerprint 0 and link like
 16 reference fingerprints, kept apart for the eight bands of eight bits.  Of two
 fingerprints that differ in at most two bits, at most two bands differ; in the other six
 all distances agree.  So every fingerprint is filed 28 times, under the table's columns
-of each choice of six bands.  Rows filed together have equal bits in six bands and hence
+of each choice of six bands.  These columns tell all values of a band apart: candidates
+thus come from banding, and pivots only discard pairs within a file.  Rows filed together have equal bits in six bands and hence
 number at most 65,536, whatever the data.  Of the pairs in a file, those whose summed
 distances to any reference differ by more than two bits are discarded, and the survivors
 are verified bit by bit.  A fingerprint has at most 136 others in its file within two
