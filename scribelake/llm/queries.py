@@ -13,6 +13,7 @@ from scribelake.llm import (
     chat,
     exact_dedup,
     language_id,
+    merkle,
     mixing,
     neighbours,
     quality,
@@ -364,3 +365,87 @@ def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     vectors = read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, F.col("id") % 50 == 0, dim=64)
+
+
+# ------------------------------------------------------------------ 12: Merkle manifest
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || ({value}::VARCHAR), '-')"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "{text}"))) + ")"
+
+
+def _tree_sql(leaves: str, name: str) -> str:
+    """CTEs of all nodes of the trees over ``leaves`` (tree, pos, n, hash), and of what stands
+    beside each node of a run."""
+    return f"""
+{name}_nodes(tree, level, pos, n, hash) AS (
+    SELECT tree, 0, pos, n, hash FROM {leaves}
+    UNION ALL
+    SELECT tree, level + 1, pos // {merkle.RUN}, any_value((n + {merkle.RUN - 1}) // {merkle.RUN}),
+           sha256(string_agg(hash, '' ORDER BY pos))
+    FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, pos // {merkle.RUN}),
+{name}_beside AS (
+    SELECT tree, level, pos,
+           coalesce(string_agg(hash, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(hash, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name}_nodes WHERE n > 1
+    WINDOW run AS (PARTITION BY tree, level, pos // {merkle.RUN} ORDER BY pos))"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+marked AS (
+    SELECT *, CASE WHEN coalesce(xor(4294967295, list_reduce(
+                  list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                  lambda c, byte: xor(c >> 8, t[(xor(c, byte) & 255) + 1]))), 1) % 3 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+              ELSE text END AS changed
+    FROM documents, steps),
+digests AS (
+    SELECT doc_id, lang, {_LEAF_SQL.format(text="text")} AS hash, {_LEAF_SQL.format(text="changed")} AS shown
+    FROM marked),
+leaves AS (
+    SELECT *, row_number() OVER () AS nr, lang AS tree, count(*) OVER (PARTITION BY lang) AS n,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos
+    FROM digests),{_tree_sql("leaves", "low")},
+subroots AS (
+    SELECT 0 AS tree, tree AS lang, hash, count(*) OVER () AS n, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos
+    FROM low_nodes WHERE n = 1),{_tree_sql("subroots", "high")},
+above AS (
+    SELECT s.lang, s.hash AS subroot, (SELECT hash FROM high_nodes WHERE n = 1) AS root, b.level, b.l, b.r
+    FROM subroots s LEFT JOIN high_beside b ON b.pos = s.pos // ({merkle.RUN} ** b.level)::BIGINT),
+within AS (
+    SELECT e.nr, b.level, b.l, b.r
+    FROM leaves e JOIN low_beside b
+      ON b.tree IS NOT DISTINCT FROM e.tree AND b.pos = e.pos // ({merkle.RUN} ** b.level)::BIGINT
+    UNION ALL
+    SELECT e.nr, 1000 + a.level, a.l, a.r FROM leaves e JOIN above a ON a.lang IS NOT DISTINCT FROM e.lang
+    WHERE a.level IS NOT NULL),
+stepped AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY level) AS step FROM within),
+folds(nr, step, node) AS (
+    SELECT nr, 1, shown FROM leaves
+    UNION ALL
+    SELECT f.nr, f.step + 1, sha256(s.l || f.node || s.r) FROM folds f JOIN stepped s USING (nr, step)),
+folded AS (SELECT nr, arg_max(node, step) AS folded_root FROM folds GROUP BY nr),
+proofs AS (SELECT nr, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM stepped GROUP BY nr)
+SELECT e.doc_id, e.hash AS leaf, a.subroot, a.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.folded_root, f.folded_root = a.root AS verified
+FROM leaves e
+JOIN (SELECT DISTINCT lang, subroot, root FROM above) a ON a.lang IS NOT DISTINCT FROM e.lang
+JOIN folded f USING (nr) LEFT JOIN proofs p USING (nr)"""
+
+
+@register("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded from texts of which a third were lower-cased."""
+    docs = read(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.when(
+        bucket("doc_id", 3) == 0, F.translate("text", upper, upper.lower())
+    ).otherwise(F.col("text"))
+    return merkle.manifest(docs, presented={"text": changed})

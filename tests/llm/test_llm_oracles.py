@@ -33,7 +33,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_by_its_stages(spark, sf_dir, tmp_path):
