@@ -19,6 +19,7 @@ from scribelake.llm import (
     quality,
     sharding,
     simhash,
+    toxicity,
     url_rules,
 )
 from scribelake.session import apply_settings
@@ -449,3 +450,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         bucket("doc_id", 3) == 0, F.translate("text", upper, upper.lower())
     ).otherwise(F.col("text"))
     return merkle.manifest(docs, presented={"text": changed})
+
+
+# ------------------------------------------------------------------ 11: toxicity
+
+
+@register("op11_toxic_sentences")
+def op11_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents and their offending sentences, learned from four fifths
+    of the labels."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, bucket("doc_id", 5) != 0)
+    held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(True)).alias("held_out")
+    return toxicity.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
