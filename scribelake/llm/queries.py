@@ -12,6 +12,7 @@ from scribelake.llm import (
     bpe,
     chat,
     exact_dedup,
+    hard_negatives,
     language_id,
     merkle,
     mixing,
@@ -463,3 +464,35 @@ def op11_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels, bucket("doc_id", 5) != 0)
     held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(True)).alias("held_out")
     return toxicity.predict(docs.select("doc_id", held_out, "text"), model).drop("text")
+
+
+# ------------------------------------------------------------------ 13: hard negatives
+
+OP13_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER best)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5"""
+
+
+@register("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of five positives of every hundredth vector."""
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0, dim=64, label=label)
