@@ -41,6 +41,7 @@ from pyspark.sql.types import (
     StructField,
     StructType,
 )
+from xxhash import xxh64_intdigest
 
 from scribelake.operators.selection import sample_n
 
@@ -95,7 +96,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def sentence_scores(text: str, model: Model, known: _Remembered) -> tuple[list[tuple[int, int]], np.ndarray]:
+def sentence_scores(text: str, bias: float, known: _Remembered) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Spans of the sentences that have words, and the log odds of each."""
     lower = text.lower()
     # where lower-casing changes lengths, places are those of the text as it is
@@ -106,7 +107,7 @@ def sentence_scores(text: str, model: Model, known: _Remembered) -> tuple[list[t
         if words := set(_WORDS.findall(sentence)):
             spans.append(found.span())
             odds.append(sum(map(known.__getitem__, words)))
-    return spans, np.array(odds) + model.bias
+    return spans, np.array(odds) + bias
 
 
 def noisy_or(odds: np.ndarray) -> float:
@@ -127,11 +128,10 @@ def minimise(
     """
     if not toxic.any() or toxic.all():
         return Model()
-    # word by feature, as pairs
-    spelt = [word_features(w) for w in words]
-    of = np.repeat(np.arange(len(words)), [len(f) for f in spelt])
-    known: dict[str, int] = {}
-    feature = np.fromiter((known.setdefault(f, len(known)) for fs in spelt for f in fs), dtype=np.int64)
+    # word by feature, as pairs; features by their hash, as most of them get no weight
+    of = np.repeat(np.arange(len(words)), [len(word_features(w)) for w in words])
+    hashed = (xxh64_intdigest(f) for w in words for f in word_features(w))
+    known, feature = np.unique(np.fromiter(hashed, dtype=np.uint64), return_inverse=True)
 
     word = np.concatenate([b[0] for b in bags])
     lengths = np.concatenate([np.diff(b[1], prepend=0) for b in bags])
@@ -156,7 +156,9 @@ def minimise(
         weights = np.sign(weights) * np.maximum(np.abs(weights) - step * penalty, 0)
         bias_square += of_sentence.sum() ** 2
         bias -= _RATE / np.sqrt(bias_square) * of_sentence.sum()
-    return Model(float(bias), {f: float(weights[k]) for f, k in known.items() if weights[k]})
+    kept = {int(known[k]): float(weights[k]) for k in np.flatnonzero(weights)}
+    spelt = {f: xxh64_intdigest(f) for w in words for f in word_features(w) if xxh64_intdigest(f) in kept}
+    return Model(float(bias), {f: kept[spelt[f]] for f in sorted(spelt)})
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +257,14 @@ def predict(
     that scores ``at_fault`` or more; of a predicted document always that of the highest
     score, the first of them if several tie.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, so that workers need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     place = docs.columns.index(text_col)
     outputs = ("score", "predicted", "offending")
     kept = [k for k, c in enumerate(docs.columns) if c.lower() not in outputs]
 
     def judged(text: str, known: _Remembered) -> tuple[float, list[dict]]:
-        spans, odds = sentence_scores(text, sent.value, known)
+        spans, odds = sentence_scores(text, sent.value[0], known)
         if not spans:
             return 0.0, []
         score, chances = noisy_or(odds), 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -273,10 +276,11 @@ def predict(
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Remembered(sent.value.weights)
+        bias, weights = sent.value
+        known = _Remembered(weights)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(place)]
-            if sent.value.bias is None:
+            if bias is None:
                 found = [(0.0, [])] * len(texts)
             else:
                 found = [judged(text, known) for text in texts]
