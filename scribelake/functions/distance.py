@@ -1,242 +1,13 @@
 """Edit distances between two texts of a row, by character and by word.
 
-Two engines give the same exact numbers:
-
-``arrow``
-    Arrow batches through a bit-parallel kernel (Myers 1999, block form of Hyyrö
-    2003): one 64-bit integer holds 64 cells of a column of the distance matrix, and
-    one numpy call advances that column for every row of the batch.  Time per pair is
-    n*m/64 machine steps, so long documents stay affordable.
-``builtin``
-    ``levenshtein`` alone, for sessions without Python workers.  Words are coded as
-    one code point each, so that the built-in counts words.
+Both are the built-in ``levenshtein``, so rows stay in the JVM.  Words are coded as one code
+point each, so that the built-in counts words.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_WORD_BITS = 64
-# Advancing pairs together pays off from about this many pairs per 64-bit block of
-# pattern; smaller groups go through the single-pair form.
-_PAIRS_PER_BLOCK = 16
-# Cells of the symbol table built at once (8 bytes each).
-_TABLE_CELLS = 500_000
-
-
-def _pair_distance(pattern: np.ndarray, text: np.ndarray) -> int:
-    """Distance of one pair; arbitrary-size integers hold the column."""
-    if len(pattern) < len(text):
-        pattern, text = text, pattern
-    m = len(pattern)
-    if not len(text):
-        return m
-    every = (1 << m) - 1
-    positions: dict[int, int] = {}
-    where: dict[int, list[int]] = {}
-    for i, symbol in enumerate(pattern.tolist()):
-        where.setdefault(symbol, []).append(i)
-    for symbol, places in where.items():
-        mask = np.zeros(m, dtype=np.uint8)
-        mask[places] = 1
-        positions[symbol] = int.from_bytes(np.packbits(mask, bitorder="little"), "little")
-    up, down = every, 0
-    for symbol in text.tolist():
-        match = positions.get(symbol, 0)
-        diagonal = match | down
-        across = (((match & up) + up) ^ up) | match
-        right = (down | (every & ~(across | up))) << 1 | 1
-        left = (up & across) << 1
-        up = (left | ~(diagonal | right)) & every
-        down = right & diagonal & every
-    return len(text) + up.bit_count() - down.bit_count()
-
-
-def _group_distances(
-    codes_a: np.ndarray,
-    start_a: np.ndarray,
-    len_a: np.ndarray,
-    codes_b: np.ndarray,
-    start_b: np.ndarray,
-    len_b: np.ndarray,
-    alphabet: int,
-) -> np.ndarray:
-    """Distances of a group of pairs advanced together, one text symbol per step.
-
-    ``codes_*`` hold all symbols back to back, as integers below ``alphabet``.
-    """
-    pairs = len(len_a)
-    order = np.argsort(-len_b, kind="stable")
-    start_a, len_a = start_a[order], len_a[order]
-    start_b, len_b = start_b[order], len_b[order]
-    blocks = max(1, int(-(-int(len_a.max()) // _WORD_BITS)))
-
-    # table[k, pair * alphabet + symbol]: where the symbol occurs in block k of the pattern
-    table = np.zeros((blocks, pairs * alphabet), dtype=np.uint64)
-    row = np.repeat(np.arange(pairs), len_a)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(len_a) - len_a, len_a)
-    symbol = codes_a[np.repeat(start_a, len_a) + place]
-    bit = np.left_shift(np.uint64(1), (place % _WORD_BITS).astype(np.uint64))
-    np.add.at(table, (place // _WORD_BITS, row * alphabet + symbol), bit)
-
-    one, top = np.uint64(1), np.uint64(_WORD_BITS - 1)
-    up = np.full((blocks, pairs), ~np.uint64(0), dtype=np.uint64)
-    down = np.zeros((blocks, pairs), dtype=np.uint64)
-    base = np.arange(pairs) * alphabet
-    steps = int(len_b.max())
-    # pairs are sorted by text length, so those still running are a prefix
-    running = np.searchsorted(-len_b, -np.arange(steps), side="left")
-    # every operation below writes into one of these, so that no step allocates
-    scratch = np.empty((8, pairs), dtype=np.uint64)
-    live = -1
-    for step in range(steps):
-        if live != running[step]:
-            live = int(running[step])
-            match, diagonal, across, right, left, grow, shrink, carry = scratch[:, :live]
-            columns = [(table[k], up[k, :live], down[k, :live]) for k in range(blocks)]
-            first, offset = start_b[:live], base[:live]
-        entry = codes_b[first + step]
-        entry += offset
-        grow.fill(1)
-        shrink.fill(0)
-        for places, pv, mv in columns:
-            np.take(places, entry, out=match, mode="clip")
-            np.bitwise_or(match, mv, out=diagonal)
-            np.bitwise_or(match, shrink, out=match)
-            np.bitwise_and(match, pv, out=across)
-            np.add(across, pv, out=across)
-            np.bitwise_xor(across, pv, out=across)
-            np.bitwise_or(across, match, out=across)
-            np.bitwise_or(across, pv, out=right)
-            np.invert(right, out=right)
-            np.bitwise_or(right, mv, out=right)
-            np.bitwise_and(across, pv, out=left)
-            np.right_shift(right, top, out=carry)
-            np.left_shift(right, one, out=right)
-            np.bitwise_or(right, grow, out=right)
-            grow, carry = carry, grow
-            np.right_shift(left, top, out=carry)
-            np.left_shift(left, one, out=left)
-            np.bitwise_or(left, shrink, out=left)
-            shrink, carry = carry, shrink
-            np.bitwise_or(diagonal, right, out=pv)
-            np.invert(pv, out=pv)
-            np.bitwise_or(pv, left, out=pv)
-            np.bitwise_and(right, diagonal, out=mv)
-
-    total = len_b.astype(np.int64).copy()
-    for k in range(blocks):
-        inside = np.clip(len_a - k * _WORD_BITS, 0, _WORD_BITS).astype(np.uint64)
-        full = inside == _WORD_BITS
-        mask = np.where(full, ~np.uint64(0), (one << np.where(full, np.uint64(0), inside)) - one)
-        total += np.bitwise_count(up[k] & mask).astype(np.int64)
-        total -= np.bitwise_count(down[k] & mask).astype(np.int64)
-    result = np.empty(pairs, dtype=np.int64)
-    result[order] = total
-    return result
-
-
-def _batch_distances(
-    codes_a: np.ndarray, len_a: np.ndarray, codes_b: np.ndarray, len_b: np.ndarray, alphabet: int
-) -> np.ndarray:
-    """Distances for a batch, pairs grouped by the number of 64-bit blocks they need."""
-    start_a, start_b = np.cumsum(len_a) - len_a, np.cumsum(len_b) - len_b
-    result = np.maximum(len_a, len_b).astype(np.int64)  # right when either side is empty
-    blocks = -(-len_a // _WORD_BITS)
-    # long patterns are grouped by powers of two, so that a batch falls into few groups
-    powers = 2 ** np.ceil(np.log2(np.maximum(blocks, 1))).astype(np.int64)
-    level = np.where(blocks <= 8, blocks, powers)
-    level[len_b == 0] = 0
-    for depth in np.unique(level[level > 0]):
-        members = np.flatnonzero(level == depth)
-        # pairs advanced at once: no more than the table has room for
-        size = max(1, _TABLE_CELLS // int(alphabet * depth))
-        if min(len(members), size) < _PAIRS_PER_BLOCK * depth:
-            for i in members:
-                result[i] = _pair_distance(
-                    codes_a[start_a[i] : start_a[i] + len_a[i]],
-                    codes_b[start_b[i] : start_b[i] + len_b[i]],
-                )
-            continue
-        # similar text lengths side by side, so that a chunk finishes together
-        members = members[np.argsort(len_b[members], kind="stable")]
-        for at in range(0, len(members), size):
-            part = members[at : at + size]
-            result[part] = _group_distances(
-                codes_a, start_a[part], len_a[part], codes_b, start_b[part], len_b[part], alphabet
-            )
-    return result
-
-
-def _differing(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Rows whose texts differ; equal rows need no work."""
-    a, b = pc.fill_null(a, ""), pc.fill_null(b, "")
-    rows = np.flatnonzero(pc.not_equal(a, b).to_numpy(zero_copy_only=False))
-    return rows, a.take(pa.array(rows)), b.take(pa.array(rows))
-
-
-def _char_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
-    return points.astype(np.int64), pc.utf8_length(texts).to_numpy().astype(np.int64)
-
-
-def _dense(a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Renumber codes below ``bound`` to 0..n-1 in one pass, without sorting."""
-    seen = np.zeros(bound, dtype=bool)
-    seen[a] = True
-    seen[b] = True
-    number = np.cumsum(seen) - 1
-    return number[a], number[b], int(seen.sum())
-
-
-def _per_pair(
-    a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray, bound: int
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """Renumber codes within each pair, so that the alphabet stays as small as a pair's."""
-    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (len_a, len_b)])
-    _, key = np.unique(row * bound + np.concatenate([a, b]), return_inverse=True)
-    first = np.full(len(len_a), len(key), dtype=np.int64)
-    np.minimum.at(first, row, key)
-    local = key - first[row]
-    return local[: len(a)], local[len(a) :], int(local.max()) + 1 if len(local) else 1
-
-
-@F.arrow_udf(T.IntegerType())
-def _char_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    result = np.zeros(len(a), dtype=np.int32)
-    rows, a, b = _differing(a, b)
-    if len(rows):
-        (ca, na), (cb, nb) = _char_codes(a), _char_codes(b)
-        ca, cb, alphabet = _dense(ca, cb, 0x110000)
-        if alphabet > 256:
-            ca, cb, alphabet = _per_pair(ca, na, cb, nb, alphabet)
-        result[rows] = _batch_distances(ca, na, cb, nb, alphabet)
-    return pa.array(result)
-
-
-@F.arrow_udf(T.IntegerType())
-def _word_edits_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    result = np.zeros(len(a), dtype=np.int32)
-    rows, a, b = _differing(a, b)
-    if len(rows):
-        lists = [
-            pc.split_pattern(pc.if_else(pc.equal(t, ""), None, t), " ") for t in (a, b)
-        ]
-        na, nb = (
-            pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for x in lists
-        )
-        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ca, cb = codes[: na.sum()], codes[na.sum() :]
-        ca, cb, alphabet = _per_pair(ca, na, cb, nb, len(coded.dictionary) + 1)
-        result[rows] = _batch_distances(ca, na, cb, nb, alphabet)
-    return pa.array(result)
 
 
 def _word_levenshtein(a: Column, b: Column) -> Column:
@@ -256,31 +27,27 @@ def _word_levenshtein(a: Column, b: Column) -> Column:
 
 
 def _banded(a: Column, b: Column) -> Column:
-    """Exact ``levenshtein`` that first tries narrow bands.
+    """Exact ``levenshtein`` that first tries the cells near the diagonal.
 
-    With a limit the built-in visits only the cells near the diagonal and answers -1
-    beyond it, which reads as NULL here, so that ``coalesce`` moves on.
+    With a limit the built-in visits only those, and answers -1 beyond it, which reads as NULL
+    here, so that ``coalesce`` moves on.  What words lost or added cost shows in the lengths;
+    beside that a recogniser mishears a small share of the characters, so that for most
+    pairs the first call is the only one.  Equal texts need none.
     """
-
-    def within(limit: Column) -> Column:
-        return F.nullif(F.call_function("levenshtein", a, b, limit.cast("int")), F.lit(-1))
-
-    size = F.char_length(a)
-    return F.coalesce(within(size / 8 + 4), within(size / 3 + 8), F.levenshtein(a, b))
+    n, m = F.char_length(a), F.char_length(b)
+    limit = (F.abs(n - m) + n / 8 + 6).cast("int")
+    near = F.nullif(F.call_function("levenshtein", a, b, limit), F.lit(-1))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(near, F.levenshtein(a, b)))
 
 
-def char_edits(a: Column | str, b: Column | str, engine: str = "arrow") -> Column:
+def char_edits(a: Column | str, b: Column | str) -> Column:
     """Unit-cost edit distance over code points; NULL reads as the empty text."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    if engine == "arrow":
-        return _char_edits_batch(a, b)
-    return _banded(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
+    return _banded(a, b)
 
 
-def word_edits(a: Column | str, b: Column | str, engine: str = "arrow") -> Column:
+def word_edits(a: Column | str, b: Column | str) -> Column:
     """Unit-cost edit distance over words of two texts with single-space separators."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    if engine == "arrow":
-        return _word_edits_batch(a, b)
-    a, b = (F.array_remove(F.split(F.coalesce(x, F.lit("")), " "), "") for x in (a, b))
-    return _word_levenshtein(a, b)
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
+    left, right = (F.array_remove(F.split(x, " "), "") for x in (a, b))
+    return F.when(a == b, F.lit(0)).otherwise(_word_levenshtein(left, right))

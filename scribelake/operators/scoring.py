@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from scribelake.functions import distance, text
 from scribelake.functions.roles import canonical
 from scribelake.operators.ids import IncompleteError, counts_by_id, pairing_audit, repeated
+from scribelake.operators.ordering import By, first_rows
 from scribelake.operators.selection import top_per_group
+from scribelake.session import materialise
 
 EDIT_COLUMNS = ("char_edits", "char_total", "word_edits", "word_total")
 
@@ -50,13 +52,12 @@ def pair(
     return left.join(right, "id", "inner")
 
 
-def with_edits(pairs: DataFrame, *, normalised: bool = True, engine: str = "arrow") -> DataFrame:
+def with_edits(pairs: DataFrame, *, normalised: bool = True, forms: str = "arrow") -> DataFrame:
     """Add edit counts and reference lengths, by character and by word.
 
-    Each text is normalised once, into a column, and both distances of a row share
-    one trip to the Python worker.  ``engine="builtin"`` stays in the JVM throughout.
+    Each text is normalised once, into a column; distances stay in the JVM.  ``forms`` says
+    who brings texts to NFKC (:func:`text.unicode_form`): with ``jvm`` no row goes to Python.
     """
-    forms = "jvm" if engine == "builtin" else engine
 
     def clean(name: str) -> Column:
         if not normalised:
@@ -72,9 +73,9 @@ def with_edits(pairs: DataFrame, *, normalised: bool = True, engine: str = "arro
         ref_words, hyp_words = F.col("_rw"), F.col("_pw")
     return prepared.withColumns(
         {
-            "char_edits": distance.char_edits("_r", "_p", engine),
+            "char_edits": distance.char_edits("_r", "_p"),
             "char_total": F.char_length("_r"),
-            "word_edits": distance.word_edits(ref_words, hyp_words, engine),
+            "word_edits": distance.word_edits(ref_words, hyp_words),
             "word_total": text.word_count(ref_words),
         }
     ).drop("_r", "_p", "_rw", "_pw")
@@ -163,38 +164,39 @@ def with_row_rates(scored: DataFrame) -> DataFrame:
 
 
 def worst_rows(scored: DataFrame, n: int = 100, by: str | None = None) -> DataFrame:
-    """The ``n`` pairs with the highest error; ties go to the smaller id.
+    """The ``n`` pairs with the highest error, for any ``n``; ties go to the smaller id.
 
-    With ``by``, the ``n`` worst of each value of that column, with their rank.
+    With ``by``, the ``n`` worst of each value of that column, with their rank.  Without, the
+    pairs are scored once, into a table, and come in no order.
     """
     rated = with_row_rates(scored)
     if by is None:
-        return rated.orderBy(F.desc("error"), "id").limit(n)
+        return first_rows(materialise(rated, "rated"), n, By("error", descending=True), "id")
     known = rated.where(F.col(by).isNotNull())
     return top_per_group(known, [by], [F.desc("error"), F.asc("id")], n, spread="id")
 
 
-def disagreements(first: DataFrame, second: DataFrame, *, engine: str = "arrow") -> DataFrame:
+def disagreements(first: DataFrame, second: DataFrame, *, forms: str = "arrow") -> DataFrame:
     """Ids on which two prediction tables differ, with how far apart they are.
 
     An id that only one table has counts as the empty text in the other; ``in_both`` tells
     it apart from an empty prediction, and it is reported whatever its text.  Repeated or
-    unknown ids are refused on either side.
+    unknown ids are refused on either side, by one shuffle of ids.
     """
     left = canonical(first, text="reference_text")
     right = canonical(second, text="prediction_text")
-    audit = pairing_audit(left, right).first()
-    repeats = counts_by_id({"a": left, "b": right}).agg(repeated("b").alias("n")).first()["n"]
-    bad = ("repeated_reference", "null_reference", "null_other")
-    problems = {name: audit[name] for name in bad if audit[name]}
-    if repeats:
-        problems["repeated_other"] = repeats
-    if problems:
+    null = F.col("id").isNull()
+    audit = counts_by_id({"a": left, "b": right}).agg(
+        *(repeated(c).alias(f"repeated_{n}") for c, n in (("a", "first"), ("b", "second"))),
+        *(F.coalesce(F.sum(F.when(null, F.col(c))), F.lit(0)).alias(f"null_{n}")
+          for c, n in (("a", "first"), ("b", "second"))),
+    ).first()
+    if problems := {name: n for name, n in audit.asDict().items() if n}:
         raise IncompleteError(f"ids do not tell predictions apart: {problems}")
     joined = left.withColumn("a", F.lit(True)).join(right.withColumn("b", F.lit(True)), "id", "full")
     in_both = (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("in_both")
     told = joined.select("id", "reference_text", "prediction_text", in_both)
-    scored = with_edits(told, engine=engine).where((F.col("char_edits") > 0) | ~F.col("in_both"))
+    scored = with_edits(told, forms=forms).where((F.col("char_edits") > 0) | ~F.col("in_both"))
     return with_row_rates(scored).select(
         "id",
         "in_both",

@@ -13,7 +13,7 @@ from scribelake.session import materialise
 # Parts that a group is cut in before its first rows are put together.
 _PARTS = 1024
 # Leading hash digits by which a sample's end is located, in two rounds.
-_HASH_DIGITS = 4
+_HASH_DIGITS = 3
 
 
 def only_ids(df: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
@@ -96,8 +96,8 @@ def sample_n(df: DataFrame, n: int, *, seed: int = 13, key: str = "id") -> DataF
     """A repeatable random sample of ``n`` rows, whatever the partitioning.
 
     The sample is the first ``n`` rows by a seeded hash of their id.  Where it ends is
-    located by counting rows per four leading hash digits, then, inside the digits in
-    which it ends, per the next four; only the rows of those eight digits are ordered.
+    located by counting rows per three leading hash digits, then, inside the digits in
+    which it ends, per the next three; only the rows of those six digits are ordered.
     """
     if n <= 0:
         return df.limit(0)

@@ -13,6 +13,8 @@ from scribelake.functions.roles import canonical, find_role
 from scribelake.operators import predict as P
 from scribelake.operators import profile, selection
 from scribelake.operators.ids import need_each_once
+from scribelake.operators.ordering import first_rows
+from scribelake.plans.resumable import predict_resumable
 from scribelake.session import materialise
 from scribelake.sources.ledger import append_ledger
 from scribelake.sources.splits import load_split
@@ -101,9 +103,9 @@ def predict_split(
     max_rows: int | None = None,
     uniform: str | None = None,
 ) -> DataFrame:
-    """``id, prediction`` cleaned for storage.  ``max_rows`` is for smoke runs."""
+    """``id, prediction`` cleaned for storage; of the first ``max_rows`` ids, if given."""
     if max_rows:
-        rows = selection.first_n(rows, max_rows)
+        rows = first_rows(rows, max_rows, "id")
     return P.cleaned(P.predict(rows, factory, batch_size=batch_size, uniform=uniform))
 
 
@@ -123,20 +125,27 @@ def batch_prediction(
     batch_size: int = 4,
     max_rows: int | None = None,
     uniform: str | None = None,
+    resume: str | None = None,
 ) -> DataFrame:
     """Predict, store, fill the template, append to the ledger; returns the predictions.
 
     The predictions are written before anything else uses them: the model runs once,
-    and no later failure loses its output.  A template read with ``numbered=True`` keeps
-    its row order.
+    and no later failure loses its output.  ``resume`` names the folder of a job that a
+    restart continues (:mod:`scribelake.plans.resumable`): only what is not done there is
+    predicted.  A template read with ``numbered=True`` keeps its row order.
     """
     rows = prediction_rows(store, split, languages, wanted=test)
     if position is None and template is not None and set(POSITION) <= set(template.columns):
         position = POSITION
-    predictions = materialise(
-        predict_split(rows, factory, batch_size=batch_size, max_rows=max_rows, uniform=uniform),
-        "predictions",
-    )
+    if resume is None:
+        made = predict_split(rows, factory, batch_size=batch_size, max_rows=max_rows, uniform=uniform)
+        predictions = materialise(made, "predictions")
+    else:
+        if max_rows:
+            rows = first_rows(rows, max_rows, "id")
+        done = predict_resumable(rows, factory, resume, batch_size=batch_size, uniform=uniform)
+        # the folder may hold more than this job asks for
+        predictions = selection.only_ids(done.select("id", "prediction"), rows.select("id"))
     if raw_output:
         write_table(P.raw_predictions(predictions), raw_output)
     submission = (

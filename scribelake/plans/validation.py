@@ -14,11 +14,11 @@ SLICES = ("language", "length_bucket")
 
 
 def score_pairs(
-    reference: DataFrame, prediction: DataFrame, *, normalised: bool = True, engine: str = "arrow"
+    reference: DataFrame, prediction: DataFrame, *, normalised: bool = True, forms: str = "arrow"
 ) -> DataFrame:
     """One row ``wer, cer, error, score`` for two tables matched by id."""
     scored = scoring.with_edits(
-        scoring.pair(reference, prediction), normalised=normalised, engine=engine
+        scoring.pair(reference, prediction), normalised=normalised, forms=forms
     )
     return scoring.metrics(scored).select("wer", "cer", "error", "score")
 
@@ -29,13 +29,13 @@ def scored_split(
     *,
     split: str = "validation",
     keep: Sequence[str] = (),
-    engine: str = "arrow",
+    forms: str = "arrow",
 ) -> DataFrame:
     """Pairs of one split with edit counts, language and length bucket."""
     need_columns(reference.columns, ["language"], "reference")
     chosen = guards.with_rows(guards.in_split(reference, split), f"reference split {split!r}")
     pairs = scoring.pair(chosen, prediction, keep=["language", *keep])
-    return scoring.with_length_bucket(scoring.with_edits(pairs, engine=engine))
+    return scoring.with_length_bucket(scoring.with_edits(pairs, forms=forms))
 
 
 def validation_report(
@@ -44,14 +44,14 @@ def validation_report(
     *,
     split: str = "validation",
     slices: Sequence[str] = SLICES,
-    engine: str = "arrow",
+    forms: str = "arrow",
 ) -> DataFrame:
     """Metrics overall and per slice: ``slice, value, rows, wer, cer, error, score``.
 
     Any column of the reference can be a slice.
     """
     extra = [s for s in slices if s not in SLICES]
-    scored = scored_split(reference, prediction, split=split, keep=extra, engine=engine)
+    scored = scored_split(reference, prediction, split=split, keep=extra, forms=forms)
     return scoring.sliced_metrics(scored, *slices)
 
 

@@ -29,8 +29,8 @@ def test_scoring_reads_what_it_needs(stored):
     plan = plan_of(validation.validation_report(stored, predictions))
     assert "PushedFilters: [IsNotNull(original_split), EqualTo(original_split,validation)" in plan
     assert "other" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    # one trip for both normalised texts, one for both distances
-    assert plan.count("ArrowEvalPython") == 2
+    # one trip to Python for both normalised texts, none for the distances
+    assert plan.count("ArrowEvalPython") == 1
     assert "Expand" not in plan  # slices are regrouped from sums, not from repeated rows
 
 
@@ -79,7 +79,7 @@ def test_oversampling_does_not_shuffle_rows_by_group(spark, stored):
 
 def test_builtin_engine_needs_no_python(stored):
     pairs = stored.selectExpr("id", "transcription as reference_text", "transcription as prediction_text")
-    assert "EvalPython" not in plan_of(scoring.metrics(scoring.with_edits(pairs, engine="builtin")))
+    assert "EvalPython" not in plan_of(scoring.metrics(scoring.with_edits(pairs, forms="jvm")))
 
 
 def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):

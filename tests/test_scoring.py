@@ -15,12 +15,12 @@ def score(spark, *rows, **options):
     return scoring.metrics(scoring.with_edits(pairs(spark, rows), **options)).first()
 
 
-@pytest.mark.parametrize("engine", ["arrow", "builtin"])
-def test_unit_rates(spark, engine):
-    assert score(spark, ("two words", "two words"), engine=engine).wer == 0.0
-    assert score(spark, ("two words", "two birds"), engine=engine).wer == 0.5
-    assert score(spark, ("abc", "ab"), engine=engine).cer == 1 / 3
-    row = score(spark, ("abc", "ab"), engine=engine)
+@pytest.mark.parametrize("forms", ["arrow", "jvm"])
+def test_unit_rates(spark, forms):
+    assert score(spark, ("two words", "two words"), forms=forms).wer == 0.0
+    assert score(spark, ("two words", "two birds"), forms=forms).wer == 0.5
+    assert score(spark, ("abc", "ab"), forms=forms).cer == 1 / 3
+    row = score(spark, ("abc", "ab"), forms=forms)
     assert row.error == 0.5 * row.wer + 0.5 * row.cer
     assert row.score == 1.0 - row.error
 

@@ -60,7 +60,7 @@ def sliced_sql(prefix: str = "scored") -> str:
     )
 
 
-def _scored(spark: SparkSession, sf: str, *, normalised: bool = True) -> DataFrame:
+def scored_utterances(spark: SparkSession, sf: str, *, normalised: bool = True) -> DataFrame:
     transcripts = t.utterances(spark, sf)
     pairs = scoring.pair(
         transcripts, t.model_a(transcripts), keep=["language", "original_split"]
@@ -76,7 +76,7 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(scored_sql("model_a") + sliced_sql())
 def sliced_metrics_all_rows(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scoring.with_length_bucket(_scored(spark, sf))
+    scored = scoring.with_length_bucket(scored_utterances(spark, sf))
     return scoring.sliced_metrics(scored, "language", "length_bucket")
 
 
@@ -89,13 +89,13 @@ def score_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(scored_sql("model_a") + f"SELECT wer, cer, error, score FROM ({metrics_sql()})")
 def score_pairs_builtin(spark: SparkSession, sf: str) -> DataFrame:
     transcripts = t.utterances(spark, sf)
-    return validation.score_pairs(transcripts, t.model_a(transcripts), engine="builtin")
+    return validation.score_pairs(transcripts, t.model_a(transcripts), forms="jvm")
 
 
 @query(scored_sql("model_a", "WHERE original_split = 'validation'") + sliced_sql())
 def validation_report_builtin(spark: SparkSession, sf: str) -> DataFrame:
     transcripts = t.utterances(spark, sf)
-    return validation.validation_report(transcripts, t.model_a(transcripts), engine="builtin")
+    return validation.validation_report(transcripts, t.model_a(transcripts), forms="jvm")
 
 
 @query(
@@ -110,12 +110,12 @@ def score_pairs_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(scored_sql("model_a") + metrics_sql("language"))
 def metrics_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.metrics_by(_scored(spark, sf), "language")
+    return scoring.metrics_by(scored_utterances(spark, sf), "language")
 
 
 @query(scored_sql("model_a") + metrics_sql("language, original_split"))
 def metrics_by_language_and_split(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.metrics_by(_scored(spark, sf), "language", "original_split")
+    return scoring.metrics_by(scored_utterances(spark, sf), "language", "original_split")
 
 
 @query(
@@ -123,7 +123,7 @@ def metrics_by_language_and_split(spark: SparkSession, sf: str) -> DataFrame:
     + metrics_sql(extra="avg(length(prediction)) AS mean_pred_len")
 )
 def metrics_with_prediction_length(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.metrics_with_length(_scored(spark, sf))
+    return scoring.metrics_with_length(scored_utterances(spark, sf))
 
 
 _ROW_RATES = """word_edits::DOUBLE / greatest(word_total, 1)::DOUBLE AS wer,
@@ -136,7 +136,7 @@ _ROW_RATES = """word_edits::DOUBLE / greatest(word_total, 1)::DOUBLE AS wer,
     FROM (SELECT id, {_ROW_RATES} FROM scored) ORDER BY error DESC, id LIMIT 100"""
 )
 def worst_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.worst_rows(_scored(spark, sf), 100).select("id", "wer", "cer", "error")
+    return scoring.worst_rows(scored_utterances(spark, sf), 100).select("id", "wer", "cer", "error")
 
 
 @query(
@@ -147,7 +147,7 @@ def worst_rows(spark: SparkSession, sf: str) -> DataFrame:
               FROM (SELECT id, language, {_ROW_RATES} FROM scored))) WHERE rank <= 25"""
 )
 def worst_rows_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    worst = scoring.worst_rows(_scored(spark, sf), 25, by="language")
+    worst = scoring.worst_rows(scored_utterances(spark, sf), 25, by="language")
     return worst.select("id", "language", "error", "rank")
 
 

@@ -14,7 +14,7 @@ from scribelake.operators import guards, ids, predict, profile, selection
 from scribelake.plans import manifests, prediction
 from scribelake.session import scratch_path
 from scribelake.sources import fingerprint as fp
-from scribelake.sources import ledger, splits, tables
+from scribelake.sources import ledger, ordered, splits, tables
 from workload import tables as t
 from workload.registry import query
 
@@ -259,16 +259,14 @@ def template_fill(spark: SparkSession, sf: str) -> DataFrame:
 def template_fill_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """A stored template in an order of its own, filled and read back with its row numbers."""
     given, filled = scratch_path(spark, "template"), scratch_path(spark, "filled")
-    shuffled = t.template(spark, sf).orderBy(F.md5("ID"), "ID").coalesce(1)
-    tables.write_table(shuffled, given)
-    template = tables.read_table(spark, given, numbered=True).na.fill("")
+    asked = t.template(spark, sf).withColumn("order", F.md5("ID"))
+    ordered.write_ordered(asked, given, "order", "ID", drop=["order"])
+    template = ordered.read_ordered(spark, given).na.fill("")
     rows = prediction.prediction_rows(t.recordings(spark, sf), "test", [*LANGUAGES, "de"])
     made = prediction.predict_split(rows, read_aloud, batch_size=16)
-    submission = predict.fill_template(template, made, position=tables.POSITION)
-    tables.write_table(submission, filled, single_file=True)
-    back = tables.read_table(spark, filled, numbered=True).na.fill("")
-    place = F.col(tables.POSITION[1]) + 1
-    return back.select(place.alias("place"), "ID", "Target")
+    ordered.write_ordered(predict.fill_template(template, made), filled, "place", drop=["place"])
+    back = ordered.read_ordered(spark, filled).na.fill("")
+    return back.select((F.col("place") + 1).alias("place"), "ID", "Target")
 
 
 @query(_FILLED)
@@ -308,27 +306,37 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, path, columns=ledger.LEDGER_COLUMNS).na.fill("")
 
 
+FILES_A_SOURCE = 4
+
+
 @query(
-    """SELECT source, true AS "exists", sum(strlen(text) + 1)::BIGINT AS bytes,
+    f"""SELECT source, (doc_id // 20 % {FILES_A_SOURCE})::VARCHAR AS part, true AS "exists",
+        sum(strlen(text) + 1)::BIGINT AS bytes,
         sha256(string_agg(text || chr(10), '' ORDER BY doc_id))[1:16] AS sha256
-    FROM documents GROUP BY source
-    UNION ALL SELECT 'absent', false, NULL, NULL"""
+    FROM documents GROUP BY ALL
+    UNION ALL SELECT 'absent', '', false, NULL, NULL"""
 )
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Fingerprints of one text file per source, and of one that is not there."""
+    """Fingerprints of several text files a source, and of one that is not there."""
     path = scratch_path(spark, "texts")
-    texts = t.read(spark, sf, "documents").select("source", "doc_id", "text").repartition("source")
+    part = F.pmod(F.floor(F.col("doc_id") / 20), F.lit(FILES_A_SOURCE))
+    texts = t.read(spark, sf, "documents").select("source", part.alias("part"), "doc_id", "text")
     (
-        texts.sortWithinPartitions("source", "doc_id")
-        .select("source", "text")
-        .write.partitionBy("source")
+        texts.repartition("source", "part")
+        .sortWithinPartitions("source", "part", "doc_id")
+        .select("source", "part", "text")
+        .write.partitionBy("source", "part")
         .text(path)
     )
     names = spark.read.format("binaryFile").load(path).select("path").collect()
     asked = [row.path for row in names] + [f"{path}/source=absent/part-0.txt"]
     prints = fp.fingerprint(spark, asked)
     return prints.select(
-        F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "exists", "bytes", "sha256"
+        F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"),
+        F.regexp_extract("path", "/part=([^/]*)/", 1).alias("part"),
+        "exists",
+        "bytes",
+        "sha256",
     )
 
 

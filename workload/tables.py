@@ -32,8 +32,9 @@ LONG_TEXTS = ("documents", "conversations")
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of the given single-file tables out to all cores."""
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    """Deal the rows out to all cores where the scan has fewer tasks than there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,14 +113,14 @@ def model_b(transcripts: DataFrame) -> DataFrame:
     return _heard(transcripts, 3, {"er": "ar", "eau": "e au"})
 
 
-def _page_id() -> Column:
+def page_id() -> Column:
     return F.concat(
         F.regexp_extract("url", "/([a-z][a-z])/", 1), F.lit("_p"), F.col("page_id").cast("string")
     )
 
 
 def pages_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select(_page_id().alias("ID"))
+    return read(spark, sf_dir, "pages").select(page_id().alias("ID"))
 
 
 def test_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +163,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _split().alias("split"),
     )
     pages = read(spark, sf_dir, "pages").select(
-        _page_id().alias("id"),
+        page_id().alias("id"),
         F.struct(
             F.col("url").alias("path"),
             F.lit(None).cast("binary").alias("bytes"),

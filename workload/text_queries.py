@@ -133,11 +133,13 @@ _PAIRS = f"""SELECT u.id, {t.norm_sql('transcription')} AS r, {t.norm_sql('predi
     FROM utterances u JOIN model_a m ON u.id = m.ID"""
 
 
-def _clean_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _clean_pairs(spark: SparkSession, sf: str, forms: str = "arrow") -> DataFrame:
     transcripts = t.utterances(spark, sf)
     heard = t.model_a(transcripts).select(F.col("ID").alias("id"), "prediction")
     return transcripts.join(heard, "id").select(
-        "id", text.normalise("transcription").alias("r"), text.normalise("prediction").alias("p")
+        "id",
+        text.normalise("transcription", engine=forms).alias("r"),
+        text.normalise("prediction", engine=forms).alias("p"),
     )
 
 
@@ -159,8 +161,8 @@ def char_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CHARS)
 def char_edit_distance_builtin(spark: SparkSession, sf: str) -> DataFrame:
-    return _clean_pairs(spark, sf).select(
-        "id", distance.char_edits("r", "p", "builtin").alias("edits")
+    return _clean_pairs(spark, sf, "jvm").select(
+        "id", distance.char_edits("r", "p").alias("edits")
     )
 
 
@@ -171,6 +173,6 @@ def word_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_WORDS)
 def word_edit_distance_builtin(spark: SparkSession, sf: str) -> DataFrame:
-    return _clean_pairs(spark, sf).select(
-        "id", distance.word_edits("r", "p", "builtin").alias("edits")
+    return _clean_pairs(spark, sf, "jvm").select(
+        "id", distance.word_edits("r", "p").alias("edits")
     )
