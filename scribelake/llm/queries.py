@@ -256,8 +256,8 @@ ordered AS (
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle
     FROM ranked)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       certain + CASE WHEN chance > 0 AND middle <= source_size * chance THEN 1 ELSE 0 END AS copies,
-       (certain + CASE WHEN chance > 0 AND middle <= source_size * chance THEN 1 ELSE 0 END) * size::BIGINT AS taken
+       certain + CASE WHEN chance > 0 AND middle <= target - certain * source_size THEN 1 ELSE 0 END AS copies,
+       (certain + CASE WHEN chance > 0 AND middle <= target - certain * source_size THEN 1 ELSE 0 END) * size::BIGINT AS taken
 FROM ordered"""
 
 
