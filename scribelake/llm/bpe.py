@@ -363,7 +363,8 @@ Make = Callable[[], Callable[[pa.Array], list[pa.Array]]]
 def _with_columns(df: DataFrame, source: str, columns: list[StructField], make: Make) -> DataFrame:
     """``df`` with further columns made from the Arrow array of ``source``, batch by batch."""
     place, names = df.columns.index(source), [c.name for c in columns]
-    kept = [k for k, c in enumerate(df.columns) if c not in names]
+    # Spark tells names apart without regard to case
+    kept = [k for k, c in enumerate(df.columns) if c.lower() not in {n.lower() for n in names}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
@@ -378,7 +379,7 @@ def _with_columns(df: DataFrame, source: str, columns: list[StructField], make:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of its whole texts; a column named ``ids_col`` is replaced."""
+    """``docs`` with the ids of its whole texts; a column named ``ids_col``, in any case, is replaced."""
     content = read_vocabulary(docs.sparkSession, path)
 
     def make():

@@ -10,7 +10,9 @@ away wherever one stands restores what was there.
 room a window has for new turns, always between turns: a turn belongs to the half in which
 it begins, and one longer than half ends its window.  So a window holds no more new tokens
 than its room, or a few turns and one long one, which is never cut.  The room is what the
-budget leaves after the system turn and the history.  Every window repeats the system turn
+budget leaves after the system turn and the history, and one token at least: a system turn
+that alone exceeds the budget is still repeated whole, so each window then holds it, the
+history, and one new turn or a few of no tokens.  Every window repeats the system turn
 (a first turn whose role is system) and then up to ``history_turns`` earlier turns, as far
 as ``history_tokens`` reach back from its start.  The loss mask covers the texts of
 assistant turns where they are new; repeated ones are masked out.

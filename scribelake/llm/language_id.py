@@ -10,7 +10,7 @@ Defined results: text that is NULL or has no letter is ``und`` with score 0; so
 text if there was nothing to learn from.  Equal scores go to the smaller name.  The score
 is the posterior probability of the language named.  Training texts without language,
 and those without n-grams, teach nothing but, for the latter, the language's share.
-Other columns of the input pass through; one named like an output is replaced.
+Other columns of the input pass through; one named like an output, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-MAX_MODEL_BYTES = 256 << 20
+MAX_MODEL_BYTES = 64 << 20
 _CHARS = 1 << 19
 _LABELS_AT_ONCE = 64
 _SOME_LETTER = re.compile("[A-Za-z]")
@@ -94,10 +94,14 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "lang") ->
         raise ValueError(f"more than {most} languages; their model would exceed {MAX_MODEL_BYTES} bytes")
     counted = rows.mapInArrow(_counts, "name string, bucket long, n long")
     table = counted.groupBy("name", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    spelt = table.column("name").to_pylist()
-    known = sorted(set(spelt))
-    place = {name: k for k, name in enumerate(known)}
-    column = np.fromiter((place[x] for x in spelt), dtype=np.int64, count=len(spelt))
+    # names are spelt once; their cells, as many as the model has, stay arrays
+    spelt = table.column("name").combine_chunks().dictionary_encode()
+    if isinstance(spelt, pa.ChunkedArray):
+        spelt = spelt.unify_dictionaries().combine_chunks()
+    names = spelt.dictionary.to_pylist()
+    known = sorted(names)
+    place = np.array([known.index(name) for name in names], dtype=np.int64)
+    column = place[spelt.indices.to_numpy()]
     counts = np.zeros(((1 << BITS) + 1, len(known)))
     np.add.at(counts, (table.column("bucket").to_numpy(), column), table.column("n").to_numpy())
     texts, counts = counts[-1], counts[:-1]
@@ -121,12 +125,13 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, so that workers need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.names, model.shares, model.logs))
     place = docs.columns.index(text_col)
-    kept = [k for k, c in enumerate(docs.columns) if c not in ("lang_pred", "score")]
+    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(place)]
             names, chances = [UNKNOWN] * len(texts), np.zeros(len(texts))

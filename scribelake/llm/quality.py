@@ -9,8 +9,8 @@ with the logistic loss; where the second part, an estimate of the negatives' ris
 below zero, a step is taken that raises it again.  The prior is estimated from the trusted
 labels: the share of positives among all labelled rows that may be learned from.
 
-The fit uses at most ``SAMPLE`` positives and as many unlabelled texts, those with the
-smallest hash of their id; this bound, a parameter, is the only sample.  It counts ids: of
+The fit uses at most ``SAMPLE`` positives and as many unlabelled texts, a repeatable sample
+of their ids; this bound, a parameter, is the only sample.  It counts ids: of
 an id's rows the one with the smallest hash of its text is learned from, so that repeats
 neither weigh more nor reach the driver.  Labels are counted in full and every text is
 scored as a whole.
@@ -18,7 +18,8 @@ scored as a whole.
 Defined results: NULL text is the empty text, which is scored like any other; without a
 positive or an unlabelled example every score is the prior, and without labels 0.5.
 Labels without id or value count as none; an id with contradicting labels is no positive.
-Other columns of the documents pass through; one named score or predicted is replaced.
+Other columns of the documents pass through; one named score or predicted, in any case, is
+replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from scribelake.operators.selection import sample_n
+
 SAMPLE = 20_000
 THRESHOLD = 0.7
 _STEPS = 600
@@ -160,11 +163,9 @@ def fit(
     prior = 0.5 if share is None else float(share)
 
     # labels of documents that are not in the table teach the prior only
-    def chosen(ids: DataFrame, salt: int) -> DataFrame:
-        return ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
-
-    positives = chosen(marked.where("label = 1").join(texts.select("doc_id").distinct(), "doc_id"), 1)
-    unlabelled = chosen(texts.select("doc_id").distinct(), 2)
+    ids = texts.select("doc_id").distinct()
+    learned = marked.where("label = 1").join(ids, "doc_id", "left_semi").select("doc_id")
+    positives, unlabelled = (sample_n(x, sample, seed=k, key="doc_id") for k, x in ((1, learned), (2, ids)))
     wanted = positives.withColumn("positive", F.lit(True)).unionByName(
         unlabelled.withColumn("positive", F.lit(False))
     )
@@ -190,14 +191,18 @@ def predict(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """``docs`` with score and predicted (1 from ``threshold`` on)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, so that workers need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (model.prior, model.centre, model.scale, model.weights, model.bias)
+    )
     place = docs.columns.index(text_col)
-    kept = [k for k, c in enumerate(docs.columns) if c not in ("score", "predicted")]
+    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
             rows = [properties(t.as_py() or "") for t in batch.column(place)]
-            scores = sent.value.scores(np.array(rows).reshape(-1, N_PROPERTIES))
+            scores = model.scores(np.array(rows).reshape(-1, N_PROPERTIES))
             predicted = pa.array((scores >= threshold).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in kept), pa.array(scores), predicted],

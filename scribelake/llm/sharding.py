@@ -87,8 +87,9 @@ def assign_shards(
     """One row per row of ``docs``: key, size, text_crc32, law, shard, slot, grown_shard.
 
     The rows, without their texts, are written once.  Slots then need no shard in one
-    task: a shard is dealt into the 4096 prefixes of the md5, whose counts give every
-    prefix its first slot.
+    task: a shard is dealt into the 4096 prefixes of the key's md5, whose counts give every
+    prefix its first slot.  Rows of one key are numbered together, so a key that very many
+    rows share is a task's load, though without texts.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     facts = docs.select(

@@ -58,6 +58,16 @@ def test_windows_keep_to_the_budget(spark, budget):
         assert w.tokens <= budget or new == 1 or budget < 40
 
 
+def test_a_system_turn_above_the_budget_is_repeated_whole(spark):
+    rows = [(1, 0, "system", "s " * 300, "", 0)]
+    rows += [(1, k, "user" if k % 2 else "assistant", "w w w", "", 0) for k in range(1, 9)]
+    windows = check(spark.createDataFrame(rows, SCHEMA), budget=100)[1]
+    assert len(windows) == 8
+    for w in windows:
+        assert w.text.startswith("### system: s s ") and w.turns - w.repeated == (2 if w.window == 0 else 1)
+        assert w.tokens <= 300 + chat.HISTORY_TOKENS + 3
+
+
 def test_odd_rows(spark):
     rows = [
         (None, 0, "user", "no id", "", 0),
