@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scribelake.llm import bpe, exact_dedup, mixing, quality, simhash
 from scribelake.llm.queries import MIX, bucket, prepare
-from scribelake.session import materialise
+from scribelake.session import step, step_result
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result but the last is written and read again."""
+    """All stages over the documents; each result but the last is written and read again.
+
+    What a stage stored on the way to its result is deleted when the result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with step(spark) as paths:
+            docs = step_result(stage(spark, docs, sf_dir), name.replace(" ", "-"), paths)
     return STAGES[-1][1](spark, docs, sf_dir)
