@@ -1,6 +1,7 @@
 """Imports every query module, which registers its queries."""
 
 from workload import (  # noqa: F401
+    inference_queries,
     job_queries,
     profile_queries,
     scoring_queries,
