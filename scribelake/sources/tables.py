@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,13 +84,14 @@ def read_table(
     """All rows of delimited files, every column a string, blank cells NULL.
 
     ``backslash``, as :func:`write_table` writes, and ``doubled`` use Spark's reader.
-    ``mixed`` accepts ``\\"`` and ``""`` in the same file; it streams each file once, in
-    bounded memory.  A row of too few or too many fields fails the read; with
+    ``mixed`` accepts ``\\"`` and ``""`` in the same file; with ``multi_line`` it streams each
+    file once, in bounded memory, without, Spark splits files and column expressions part
+    the fields.  A row of too few or too many fields fails the read; with
     ``strict=False`` the native dialects keep it in a ``_corrupt_record`` column instead.
 
     Fields may hold newlines, so one file is one task: keep large tables in many files,
-    convert them to Parquet once, or pass ``multi_line=False`` for native tables without
-    such fields, whose files Spark then splits.  ``numbered`` adds the columns
+    convert them to Parquet once, or pass ``multi_line=False`` for tables without such
+    fields, whose files Spark then splits.  ``numbered`` adds the columns
     ``POSITION``, which put the rows in file order.
     """
     columns = _columns(spark, path, columns)
@@ -116,6 +117,10 @@ def read_table(
             F.col("_metadata.file_path").alias(POSITION[0]),
             F.monotonically_increasing_id().alias(POSITION[1]),
         )
+    if not multi_line:
+        if numbered or not strict:
+            raise ValueError("lines of mixed tables are neither numbered nor kept if malformed")
+        return _split_lines(spark, path, columns)
     schema = _string_schema(columns)
     arrow_schema = pa.schema([(c, pa.string()) for c in columns])
     if numbered:
@@ -136,6 +141,35 @@ def read_table(
     return _listing(spark, path).select("path").mapInArrow(parse, schema)
 
 
+# a field after its comma: quoted, with quotes doubled or escaped inside, or plain
+_FIELD = r',("(?:[^"\\]++|\\.|"")*+"|(?:[^,\\]++|\\.)*+)'
+_NO_SUCH_SIGN = "\x01"
+
+
+def _split_lines(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
+    """Mixed tables of one row a line: Spark reads lines and expressions part the fields."""
+    # a separator and a quote that do not occur make a line one field; headers are left out
+    lines = (
+        spark.read.schema("line string")
+        .options(header="true", sep=_NO_SUCH_SIGN, quote="", escape="", enforceSchema="true")
+        .option("mode", "FAILFAST")
+        .csv(path)
+    )
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(_FIELD), F.lit(1))
+    short = F.concat(F.lit(f"a row of other than {len(columns)} fields: "), F.substring("line", 1, 80))
+    checked = F.when(F.size("fields") == len(columns), F.col("fields")).otherwise(F.raise_error(short))
+    parted = lines.select("line", fields.alias("fields")).select(checked.alias("fields"))
+
+    def cell(k: int) -> Column:
+        raw = F.col("fields")[k]
+        inner = F.when(F.startswith(raw, F.lit('"')), F.substring(raw, F.lit(2), F.char_length(raw) - 2)).otherwise(raw)
+        # of an escaped sign, and of two quotes, the second stays
+        plain = F.regexp_replace(inner, F.lit(r'\\(.)|"(")'), F.lit("$1$2"))
+        return F.nullif(plain, F.lit(""))
+
+    return parted.select(*(cell(k).alias(c) for k, c in enumerate(columns)))
+
+
 def _parse_file(file: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     with _open_text(file) as stream:
         rows = _reader(stream)

@@ -223,3 +223,29 @@ def test_labels_need_known_and_single_ids(spark, store):
     twice = store.unionByName(store.where("id = 1"))
     with pytest.raises(IncompleteError, match="several"):
         splits.load_labelled_split(twice, good, "train", ["x"])
+
+
+def test_mixed_lines_as_the_streaming_reader_reads_them(spark, tmp_path):
+    lines = [
+        "ID,text,more",
+        'a,"say \\"x\\"",1',
+        'b,"say ""x""",2',
+        'c,plain \\, text,',
+        'd,"a, ""b\\", c",",,"',
+        ",,",
+        'e,"","\\\\"',
+        "ID,text,more",
+        'f,' + "long, word ".replace(",", "") * 20_000 + ',"' + 'x""' * 20_000 + '"',
+    ]
+    folder = tmp_path / "t"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"part-{k}.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    by_line = tables.read_table(spark, str(folder), dialect="mixed", multi_line=False)
+    streamed = tables.read_table(spark, str(folder), dialect="mixed")
+    assert by_line.columns == streamed.columns == ["ID", "text", "more"]
+    assert sorted(map(str, by_line.collect())) == sorted(map(str, streamed.collect()))
+    assert by_line.count() == 16
+    (folder / "part-2.csv").write_text("ID,text,more\nx,y\n")
+    with pytest.raises(Exception, match="other than 3 fields"):
+        tables.read_table(spark, str(folder), dialect="mixed", multi_line=False).collect()

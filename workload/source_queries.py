@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.functions.roles import canonical
+from scribelake.functions.roles import MissingColumnError, canonical
 from scribelake.operators import guards, ids, predict, profile, selection
 from scribelake.plans import manifests, prediction
 from scribelake.session import scratch_path
@@ -56,6 +56,53 @@ def csv_scan_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, path, dialect="mixed")
 
 
+_QUOTED = t.with_sql(
+    "utterances",
+    """SELECT id, chr(34) || transcription || ', ' || chr(92) || chr(34) AS transcription, language, original_split
+    FROM utterances""",
+)
+
+
+@query(_QUOTED)
+def csv_scan_mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in both quoting styles, a row a line, parted by expressions."""
+    text = F.concat(F.lit('"'), "transcription", F.lit(', \\"'))
+    rows = t.utterances(spark, sf).withColumn("transcription", text)
+    path = scratch_path(spark, "csv")
+    held_out = F.col("original_split") == "validation"
+    tables.write_table(rows.where(held_out), path, dialect="backslash", mode="append")
+    # the other style has no escapes, so a backslash in it is written twice, for the reader
+    doubled = rows.withColumn("transcription", F.replace("transcription", F.lit("\\"), F.lit("\\\\")))
+    tables.write_table(doubled.where(~held_out), path, dialect="doubled", mode="append")
+    return tables.read_table(spark, path, dialect="mixed", multi_line=False)
+
+
+_SPOKEN = "CASE language WHEN 'en' THEN 'lin' WHEN 'fr' THEN 'sna' WHEN 'es' THEN 'lug' ELSE language END"
+
+
+@query(
+    t.with_sql(
+        "recordings corpus",
+        f"""SELECT r.id, {_SPOKEN.replace("language", "r.language")} AS language, c.transcription AS text,
+            'label table lacks required columns [''language'', ''original_split'']' AS refused
+        FROM recordings r JOIN corpus c ON r.id = c.id
+        WHERE split = 'validation' AND c.original_split = 'validation' AND r.language IN ('en', 'fr', 'es')""",
+    )
+)
+def default_languages_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank language codes mean the default ones; what a label table without columns is told."""
+    spoken = F.expr(_SPOKEN)
+    store = t.recordings(spark, sf).withColumn("language", spoken)
+    labels = t.corpus(spark, sf).withColumn("language", spoken)
+    try:
+        splits.load_labelled_split(store, labels.drop("language", "original_split"), "validation", [" "])
+        refused = ""
+    except MissingColumnError as error:
+        refused = str(error)
+    rows = splits.load_labelled_split(store, labels, "validation", [" ", ""])
+    return rows.select("id", "language", "text", F.lit(refused).alias("refused"))
+
+
 # what every text gets: a path, quotes in both styles, line breaks and a last backslash
 _AWKWARD = "C:\\new\\table \\\"a\\\" \"\" \n\r\n \t , ' "
 
