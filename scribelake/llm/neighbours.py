@@ -2,8 +2,8 @@
 
 Vectors are brought to length one and projected, once per curve, on a few random
 orthogonal directions; a random shift and a grid turn the projection into a place on a
-Hilbert curve.  The grid is as fine as single precision, so that vectors crowded about one
-point are still ordered by position.  Spark sorts all curves' places by range, which gives
+Hilbert curve.  The grid is about as fine as single precision, so that vectors crowded about
+one point are still ordered by position.  Spark sorts all curves' places by range, which gives
 every vector a position on every curve.  A query looks at the positions around its own,
 ``window`` of all rows on either side but ``LEAST`` at least, on every curve; what it finds
 is merged per query, and the shortlist is ranked anew by the cosine, in double precision,
@@ -48,7 +48,7 @@ CURVES = 32
 WINDOW = 0.01
 LEAST = 32
 BLOCK = 1024
-DIRECTIONS, BITS = 12, 30
+DIRECTIONS, BITS = 8, 24
 _NOISE = 1e-9  # far more than a matrix product differs from a single pair's
 _REACH = 3.5  # grids end at so many standard deviations of a random direction
 
@@ -176,7 +176,8 @@ def _order(packed: DataFrame, dim: int, kind: type, curves: int) -> DataFrame:
                     names=["curve", "place", "entry"],
                 )
 
-    placed = packed.mapInArrow(places, "curve int, place binary, entry long")
+    # written, as a sort by range looks at its rows twice
+    placed = materialise(packed.mapInArrow(places, "curve int, place binary, entry long"), "places")
     # the sorted rows are written with their partition and row in it, which do not change then
     row = F.monotonically_increasing_id()
     in_order = materialise(

@@ -140,9 +140,9 @@ def looked_at(vectors, asks, curves=neighbours.CURVES, window=neighbours.WINDOW)
     for c in range(curves):
         rotation, shift = neighbours._orders(c, dim, min(neighbours.DIRECTIONS, dim))
         wide = neighbours._REACH
-        grid = ((unit * np.sqrt(dim)) @ rotation + wide + shift) / (2 * wide + 1) * (1 << 30)
-        cells = np.clip(grid, 0, (1 << 30) - 1).astype(np.int64)
-        packed = np.packbits(neighbours._digits(cells, 30), axis=1)
+        grid = ((unit * np.sqrt(dim)) @ rotation + wide + shift) / (2 * wide + 1) * (1 << neighbours.BITS)
+        cells = np.clip(grid, 0, (1 << neighbours.BITS) - 1).astype(np.int64)
+        packed = np.packbits(neighbours._digits(cells, neighbours.BITS), axis=1)
         order = np.lexsort(packed.T[::-1])
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
