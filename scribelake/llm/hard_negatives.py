@@ -47,7 +47,7 @@ from scribelake.operators.selection import sample_n
 from scribelake.session import materialise
 
 SAMPLE = 20_000
-FANOUT = 8
+FANOUT = 32
 LEAF = 512
 BLOCK = 8_192
 _LARGEST = 27  # bits of a component
@@ -306,14 +306,16 @@ def _best_known(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     return np.partition(held, -k, axis=1)[:, -k]
 
 
-def _wanted_leaves(queries: DataFrame, tree: Tree, known: dict, dim: int, k: int, low: float) -> DataFrame:
-    """(entry, leaf) to be compared for each of ``queries`` (entry, label, vector, tops).
+def _wanted_leaves(
+    queries: DataFrame, tree: Tree, known: dict, layout: dict[str, np.ndarray], dim: int, k: int, low: float
+) -> DataFrame:
+    """(entry, block, leaves) to be compared for each of ``queries`` (entry, label, vector, tops).
 
     With ``tops`` NULL the ``k`` best of the query's label are sought; else, for each score
     in it, the ``k`` best of other labels from ``low`` times that score up to it.
     """
 
-    # tree and sample, of bounded size, travel with the function
+    # tree, sample and layout, of bounded size, travel with the function
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _QUERIES):
@@ -339,12 +341,28 @@ def _wanted_leaves(queries: DataFrame, tree: Tree, known: dict, dim: int, k: int
                 window, leaf = leaves_near(
                     tree, vectors[owner], np.array(least, dtype=np.float64), np.array(most, dtype=np.float64)
                 )
-                pairs = np.unique(np.stack([owner[window], leaf]), axis=1)
+                # a leaf lies in one block, or, if it is larger, in several
+                query, leaf = np.unique(np.stack([owner[window], leaf]), axis=1)
+                parts = layout["parts"][leaf]
+                offset = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                query, leaf = np.repeat(query, parts), np.repeat(leaf, parts)
+                block = layout["block"][leaf] + offset
+                order = np.lexsort((leaf, block, query))
+                query, leaf, block = query[order], leaf[order], block[order]
+                new = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+                ends = np.append(new, len(leaf)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], names=["entry", "leaf"]
+                    [
+                        part.column(0).take(pa.array(query[new])),
+                        pa.array(block[new]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf)),
+                    ],
+                    names=["entry", "block", "leaves"],
                 )
 
-    return queries.select("entry", "label", "vector", "tops").mapInArrow(run, "entry long, leaf long")
+    return queries.select("entry", "label", "vector", "tops").mapInArrow(
+        run, "entry long, block long, leaves array<long>"
+    )
 
 
 def _compare(batches: Iterator[pa.RecordBatch], dim: int, k: int, percent: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -417,15 +435,10 @@ def _compare(batches: Iterator[pa.RecordBatch], dim: int, k: int, percent: tuple
 
 
 def _search(
-    queries: DataFrame, filed: DataFrame, layout: DataFrame, wanted: DataFrame, dim: int, k: int, percent: tuple[int, int]
+    queries: DataFrame, filed: DataFrame, wanted: DataFrame, dim: int, k: int, percent: tuple[int, int]
 ) -> DataFrame:
     """(entry, top, score, ids) of the entries among each query's ``k`` best of any block."""
-    # a leaf lies in one block, or, if it is larger, in several
-    blocks = wanted.join(layout, "leaf").select(
-        "entry", "leaf", F.explode(F.sequence("block", F.col("block") + F.col("parts") - 1)).alias("block")
-    )
-    lists = blocks.groupBy("entry", "block").agg(F.collect_list("leaf").alias("leaves"))
-    asking = lists.join(queries, "entry").select(
+    asking = wanted.join(queries, "entry").select(
         "block", F.lit(True).alias("asks"), "entry", "label", "vector",
         F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("leaf"), "leaves", "tops",
     )
@@ -458,6 +471,15 @@ def _layout(filed: DataFrame, block: int) -> DataFrame:
     return materialise(placed.select("leaf", "block", "parts"), "leaf-blocks")
 
 
+def _places(layout: DataFrame, n_leaves: int) -> dict[str, np.ndarray]:
+    """``layout`` by leaf, no more rows than the sample has; a leaf without entries has no part."""
+    found = {"block": np.zeros(n_leaves, dtype=np.int64), "parts": np.zeros(n_leaves, dtype=np.int64)}
+    table = layout.toArrow()
+    for name, values in found.items():
+        values[table.column("leaf").to_numpy()] = table.column(name).to_numpy()
+    return found
+
+
 def mine(
     rows: DataFrame,
     is_anchor: Column,
@@ -494,6 +516,7 @@ def mine(
     )
     tree, known, filed = _plant(entries, dim, sample, leaf, fanout)
     layout = _layout(filed, block)
+    places = _places(layout, len(tree.paths))
     filed = filed.join(layout, "leaf").withColumn(
         "block", F.col("block") + F.pmod(F.xxhash64("entry"), F.col("parts"))
     )
@@ -503,8 +526,8 @@ def mine(
     asked = materialise(asked, "queries")
 
     def answers(queries: DataFrame, k: int, by: list[str]) -> DataFrame:
-        wanted = _wanted_leaves(queries, tree, known, dim, k, percent[0] / percent[1])
-        best = _search(queries, filed, layout, wanted, dim, k, percent)
+        wanted = _wanted_leaves(queries, tree, known, places, dim, k, percent[0] / percent[1])
+        best = _search(queries, filed, wanted, dim, k, percent)
         ranked = Window.partitionBy(*by).orderBy(F.col("score").desc(), "id")
         listed = best.select("entry", "top", "score", F.explode("ids").alias("id"))
         return listed.withColumn("nr", F.row_number().over(ranked)).where(F.col("nr") <= k)
