@@ -67,3 +67,36 @@ def test_properties(spark, pairs):
     for row in both.collect():
         assert row.d == row.e == plain(row.a, row.b)
         assert abs(len(row.a) - len(row.b)) <= row.d <= max(len(row.a), len(row.b))
+
+
+def test_engines_agree(spark):
+    rng = random.Random(7)
+    pairs = random_pairs()[:150] + [("", "a b"), ("a" * 1024, "b" * 1024), ("ab " * 400, "ba " * 390)]
+    # more words than letters of the short code, and few of many repeated
+    many = " ".join(f"w{k}" for k in range(150))
+    pairs += [(many, many.replace("w7", "v")), (" ".join(rng.choices("abc", k=200)), "a b c a")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    out = df.select("a", "b", *(
+        f("a", "b", e).alias(f"{n}_{e}")
+        for n, f in (("c", distance.char_edits), ("w", distance.word_edits)) for e in ("arrow", "jvm")
+    ))
+    for row in out.collect():
+        a, b = row.a or "", row.b or ""
+        assert row.c_arrow == row.c_jvm == plain(a, b), (a, b)
+        assert row.w_arrow == row.w_jvm == plain(a.split(), b.split()), (a, b)
+
+
+def test_pairs_are_counted_side_by_side(spark):
+    """By batches, not by one call of the built-in a pair."""
+    df = spark.createDataFrame([("a b", "b")], "a string, b string")
+    plan = df.select(distance.char_edits("a", "b"), distance.word_edits("a", "b"))
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+    for f in (distance.char_edits, distance.word_edits):
+        plan = df.select(f("a", "b", "jvm"))._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
+
+
+def test_the_narrow_band_is_tried_once(spark):
+    df = spark.createDataFrame([("a b", "b")], "a string, b string")
+    plan = df.select(distance.char_edits("a", "b", "jvm").alias("d"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("levenshtein(") == 2  # within the band, and without

@@ -162,7 +162,7 @@ def char_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(_CHARS)
 def char_edit_distance_builtin(spark: SparkSession, sf: str) -> DataFrame:
     return _clean_pairs(spark, sf, "jvm").select(
-        "id", distance.char_edits("r", "p").alias("edits")
+        "id", distance.char_edits("r", "p", "jvm").alias("edits")
     )
 
 
@@ -174,5 +174,5 @@ def word_edit_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(_WORDS)
 def word_edit_distance_builtin(spark: SparkSession, sf: str) -> DataFrame:
     return _clean_pairs(spark, sf, "jvm").select(
-        "id", distance.word_edits("r", "p").alias("edits")
+        "id", distance.word_edits("r", "p", "jvm").alias("edits")
     )
