@@ -141,3 +141,37 @@ def test_regressions(spark):
     rows = {r.experiment_id: r for r in run_gate.regressions(history).collect()}
     assert rows["r2"].worse and not rows["r1"].worse and rows["r1"].previous_error is None
     assert not run_gate.regressions(history, 0.2).where("worse").count()
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_normalised_once(spark):
+    plan = executed(scoring.with_edits(pairs(spark, [("Ab c", "ab")])))
+    assert plan.count("translate(") == 2  # one a side
+
+
+def test_disagreements_count_edits_once(spark):
+    first = spark.createDataFrame([("1", "a b"), ("2", "c"), ("3", "d")], "ID string, prediction string")
+    second = spark.createDataFrame([("1", "A b"), ("2", "e"), ("4", "")], "ID string, prediction string")
+    apart = scoring.disagreements(first, second)
+    assert executed(apart).count("_char_batch(") == 1
+    told = {r.id: (r.in_both, r.word_edits, r.char_edits) for r in apart.collect()}
+    assert told == {"2": (True, 1, 1), "3": (False, 1, 1), "4": (False, 0, 0)}
+
+
+def test_bootstrap_joins_runs_once(spark, monkeypatch):
+    rows = pairs(spark, [("a b", "a"), ("c", "d")]).selectExpr("*", "'x' AS language")
+    scored = scoring.with_edits(rows)
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(run_gate, "materialise", kept)
+    run_gate.bootstrap_changes(scored, scored, replicates=3).collect()
+    assert plans[0].count("Join Inner") == 1 and "Union" not in plans[0]
+    # one for each of the digits of a digest, none a chance
+    assert plans[0].count("conv(") == 4
