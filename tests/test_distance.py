@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +101,22 @@ def test_the_narrow_band_is_tried_once(spark):
     df = spark.createDataFrame([("a b", "b")], "a string, b string")
     plan = df.select(distance.char_edits("a", "b", "jvm").alias("d"))._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("levenshtein(") == 2  # within the band, and without
+
+
+def test_most_pairs_are_decided_near_the_diagonal():
+    """By one word a column, however long they are; what 64 diagonals cannot tell is left."""
+    rng = random.Random(8)
+    a = [rng.randrange(30) for _ in range(900)]
+    near = a[:100] + [31] + a[103:500] + [32] * 9 + a[500:]
+    pairs = [(a, near), (a, a), (a, a[70:]), (a[:300], a[::-1]), ([], a[:40]), (a[:63], []), (a, a[63:])]
+    pairs.sort(key=lambda p: -len(p[1]))
+    texts = [x for x, _ in pairs] + [y for _, y in pairs]
+    codes = np.array([c for x in texts for c in x] + [99], np.uint8)
+    lengths = np.array([len(x) for x in texts])
+    (n, m), (at_a, at_b) = np.split(lengths, 2), np.split(np.cumsum(lengths) - lengths, 2)
+    found, sure = distance._near_diagonal(codes, n, m, at_a, at_b)
+    for (x, y), d, exact in zip(pairs, found, sure):
+        assert d == plain(x, y) if exact else d >= plain(x, y) or abs(len(x) - len(y)) > 63
+    assert [exact for (x, y), exact in zip(pairs, sure) if (x, y) in ((a, near), (a, a), (a, a[63:]))] == [True] * 3
+    assert not any(exact for (x, y), exact in zip(pairs, sure) if y in (a[70:], a[::-1]))
+    assert list(distance._distances(codes[:-1], lengths)) == [plain(x, y) for x, y in pairs]
