@@ -175,3 +175,23 @@ def test_bootstrap_joins_runs_once(spark, monkeypatch):
     assert plans[0].count("Join Inner") == 1 and "Union" not in plans[0]
     # one for each of the digits of a digest, none a chance
     assert plans[0].count("conv(") == 4
+
+
+def test_pairing_reads_each_table_once(spark):
+    """The ids are not gathered in a pass of their own, for which texts would be made anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ref, pred = tables(spark, [("1", "a b"), ("2", "c"), ("3", "e"), ("9", "x"), ("9", "y"), (None, "z")])
+    paired = scoring.pair(
+        ref.mapInArrow(seen, ref.schema), pred.mapInArrow(seen, pred.schema), keep=["language"]
+    )
+    assert paired.columns == ["id", "reference_text", "language", "prediction_text"]
+    assert sorted(paired.collect()) == [("1", "a b", "x", "a b"), ("2", "c d", "y", "c"), ("3", "e", "x", "e")]
+    assert read.value == 9
+    nulls = scoring.pair(*tables(spark, [("1", None)], [("1", None, None, None)]), keep=["language"])
+    assert [tuple(r) for r in nulls.collect()] == [("1", None, None, None)]
