@@ -120,3 +120,22 @@ def test_most_pairs_are_decided_near_the_diagonal():
     assert [exact for (x, y), exact in zip(pairs, sure) if (x, y) in ((a, near), (a, a), (a, a[63:]))] == [True] * 3
     assert not any(exact for (x, y), exact in zip(pairs, sure) if y in (a[70:], a[::-1]))
     assert list(distance._distances(codes[:-1], lengths)) == [plain(x, y) for x, y in pairs]
+
+
+def test_common_ends_do_not_reach_the_builtin(spark):
+    """What both texts begin and end with is cut off, without cutting a character twice."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("abé ") for _ in range(200))
+    pairs = [(long, long[:120] + "x" + long[123:]), ("a" * 90, "a" * 70), ("", long), (long, ""), ("é" * 8, "é" * 9)]
+    pairs += [("".join(rng.choices("aé", k=rng.randrange(40))), "".join(rng.choices("aé", k=rng.randrange(40)))) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rest = df.select(distance._trimmed(df.a, df.b).alias("t")).select("t.*").collect()
+    assert max(len(rest[0].a), len(rest[0].b)) < 20 and {len(rest[1].a), len(rest[1].b)} == {26, 6}
+    found = df.select("a", "b", distance.char_edits("a", "b", "jvm").alias("d")).collect()
+    assert [r.d for r in found] == [plain(r.a, r.b) for r in found]
+
+
+def test_words_are_split_once_a_text(spark):
+    df = spark.createDataFrame([("a b", "b")], "a string, b string")
+    plan = df.select(distance.word_edits("a", "b", "jvm").alias("d"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("split(") == 2
