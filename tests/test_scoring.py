@@ -195,3 +195,10 @@ def test_pairing_reads_each_table_once(spark):
     assert read.value == 9
     nulls = scoring.pair(*tables(spark, [("1", None)], [("1", None, None, None)]), keep=["language"])
     assert [tuple(r) for r in nulls.collect()] == [("1", None, None, None)]
+
+
+def test_pairs_are_dealt_to_several_tasks_a_core(spark):
+    """Few large files would leave most cores waiting for the last tasks of the scoring."""
+    paired = scoring.pair(*tables(spark, [("1", "a b"), ("2", "c"), ("3", "e")]), keep=["language"])
+    assert paired.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert len(paired.collect()) == 3

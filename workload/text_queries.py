@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import distance, roles, text
 from scribelake.operators import profile
+from scribelake.session import tasks
 from workload import tables as t
 from workload.registry import query
 
@@ -136,7 +137,9 @@ _PAIRS = f"""SELECT u.id, {t.norm_sql('transcription')} AS r, {t.norm_sql('predi
 def _clean_pairs(spark: SparkSession, sf: str, forms: str = "arrow") -> DataFrame:
     transcripts = t.utterances(spark, sf)
     heard = t.model_a(transcripts).select(F.col("ID").alias("id"), "prediction")
-    return transcripts.join(heard, "id").select(
+    # counting edits follows the join in the same tasks, too few of which would leave cores idle
+    n = tasks(spark)
+    return transcripts.repartition(n, "id").join(heard.repartition(n, "id"), "id").select(
         "id",
         text.normalise("transcription", engine=forms).alias("r"),
         text.normalise("prediction", engine=forms).alias("p"),
