@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from scribelake.functions import distance
+from scribelake.functions import distance, text
 
 
 def plain(a, b):
@@ -139,3 +141,39 @@ def test_words_are_split_once_a_text(spark):
     df = spark.createDataFrame([("a b", "b")], "a string, b string")
     plan = df.select(distance.word_edits("a", "b", "jvm").alias("d"))._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("split(") == 2
+
+
+def test_pairs_are_tried_by_words_that_reach_their_ends(monkeypatch):
+    """32 diagonals first, then 64; what is left of all pairs is counted together."""
+    rng = random.Random(9)
+    a = [rng.randrange(40) for _ in range(120)]
+    pairs = [(a, a[:50] + [41] + a[50:]), (a, a[::-1]), (a, a[40:]), (a, a[90:]), (a[:20], a), ([], []), ([], a[:5])]
+    pairs += [(a[: rng.randrange(120)], a[rng.randrange(40) :]) for _ in range(40)]
+    tried, near = [], distance._near_diagonal
+
+    def watched(codes, n, m, at_a, at_b, kind):
+        tried.append((kind, len(n), int(abs(n - m).max())))
+        return near(codes, n, m, at_a, at_b, kind)
+
+    monkeypatch.setattr(distance, "_near_diagonal", watched)
+    monkeypatch.setattr(distance, "ROWS", 8)
+    texts = [x for x, _ in pairs] + [y for _, y in pairs]
+    found = distance._distances(np.array([c for x in texts for c in x], np.uint8), np.array([len(x) for x in texts]))
+    assert list(found) == [plain(x, y) for x, y in pairs]
+    assert {k for k, _, _ in tried} == {np.uint32, np.uint64}
+    assert all(rows <= 8 and gap < 8 * kind().itemsize for kind, rows, gap in tried)
+
+
+def test_words_of_raw_texts(spark):
+    """Split at any whitespace there is, in Python as in the JVM, long and equal texts too."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    split = pc.utf8_split_whitespace(pa.array([f"a{chr(c)}b" for c in points]))
+    lengths = pc.list_value_length(split).to_pylist()
+    assert {chr(c) for c, n in zip(points, lengths) if n == 2} == set(text.WHITESPACE)
+    odd = [" \ta　b\x85\n", "a  b", "", None, " ", "a,B c", "a b " * 300, "\xa0x", "x"]
+    pairs = [(a, b) for a in odd for b in odd]
+    edits, total = distance.raw_word_edits("a", "b")
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", edits.alias("e"), total.alias("n"))
+    for row in rows.collect():
+        a, b = (row.a or "").split(), (row.b or "").split()
+        assert (row.e, row.n) == (plain(a, b), len(a)), (row.a, row.b)

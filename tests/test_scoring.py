@@ -41,6 +41,23 @@ def test_raw_scoring_sees_case_and_punctuation(spark):
     assert raw.wer == 0.5 and raw.cer == 3 / 10
 
 
+def test_raw_texts_are_split_once_in_python(spark):
+    """What goes to Python has its whitespace read there, not before in the JVM as well."""
+    scored = scoring.with_edits(pairs(spark, [("A b", "a b"), ("x", None)]), normalised=False)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "translate" not in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_raw_scoring_agrees_with_the_builtin(spark):
+    texts = ["A  b,\tC", " a b c ", "", None, "é\u3000ß", "Wort " * 250, "a b c", "x\u2028y\x1fz"]
+    both = pairs(spark, [(a, b) for a in texts for b in texts])
+    rows = {
+        forms: scoring.with_edits(both, normalised=False, forms=forms).orderBy("id").collect()
+        for forms in ("arrow", "jvm")
+    }
+    assert rows["arrow"] == rows["jvm"] and rows["arrow"][0].asDict().keys() >= set(scoring.EDIT_COLUMNS)
+
+
 REF = [("1", "a b", "x", "validation"), ("2", "c d", "y", "validation"), ("3", "e", "x", "train")]
 REF_SCHEMA = "id string, transcription string, language string, original_split string"
 

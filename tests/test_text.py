@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribelake.functions import roles, text
+from workload import tables
 
 
 def expected(value, strip=False):
@@ -163,3 +164,28 @@ def test_audio_pointer(spark):
     )
     plan = stored.select(roles.audio_pointer(stored, "audio"))._jdf.queryExecution().toString()
     assert "bytes" not in plan.split("Optimized Logical Plan")[1].replace("bytes_present", "")
+
+
+def test_words_without_collapsing_spaces(spark):
+    values = [None, "", "  Hello,   Waxal! ", "l’eau\u3000ﬁn", "...", "a\x1fb", "ÉTÉ à\nla"]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    out = df.select(text.normalised_words("t").alias("w"), text.words(text.normalise("t")).alias("n"))
+    for value, row in zip(values, out.collect()):
+        assert row.w == row.n == expected(value).split(), value
+
+
+def test_utterances_have_single_spaces(spark, tmp_path):
+    """All words of a text, 30 an utterance; lines and runs of gaps become one space."""
+    texts = ["a\nb", " \n a  b\n\n\nc \n", "", None, "\tx \t y", "w \n" * 65, " \n ", "one"]
+    rows = [(k, t, None if k == 1 else "en", "src0", 0) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.id, r.transcription) for r in tables.utterances(spark, str(tmp_path)).collect())
+    wanted = []
+    for k, t, lang, *_ in rows:
+        words = [w for w in re.split("[ \n]+", t or "") if w]
+        cut = [words[i : i + 30] for i in range(0, len(words), 30)]
+        wanted += [("_".join([*([lang] if lang else []), str(k), str(i)]), " ".join(c)) for i, c in enumerate(cut)]
+    assert found == sorted(wanted)
+    plan = tables.utterances(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[ \n]+" not in plan.replace("\\n", "\n")  # no match is made for every single gap
